@@ -23,6 +23,12 @@ def _pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docketry.llm.substring_dedup import dedup_substrings
+
+    return dedup_substrings(_table(spark, sf_dir, "documents"), size=20, keep_text=False)
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docketry.llm.token_counts import count_tokens
 
@@ -47,6 +53,12 @@ def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_personal_data(_table(spark, sf_dir, "documents"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docketry.llm.decontaminate import decontaminate
+
+    return decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), size=10)
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docketry.llm.quality import score_quality
 
@@ -54,10 +66,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op3_token_counts": op3_token_counts,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_secret_scan": op5_secret_scan,
     "op8_personal_data": op8_personal_data,
+    "op9_decontamination": op9_decontamination,
     "op10_quality": op10_quality,
 }
 
