@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,7 +61,7 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE) -> I
     """Parts of a batch, each with about `limit` bytes of text and one row at least."""
     if not batch.num_rows:
         return
-    lengths = pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+    lengths = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
     ends = np.cumsum(lengths.astype(np.int64) + 1)
     at = 0
     while at < len(ends):

@@ -17,6 +17,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
@@ -103,7 +104,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 2048) -> Dat
                 text = part.column("text").fill_null("")
                 n_tokens = [counter(t) for t in text.to_pylist()]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.compute.binary_length(text).cast(pa.int64()), pa.array(n_tokens, pa.int64()), pa.array([n > limit for n in n_tokens], pa.bool_())],
+                    [part.column("doc_id"), pc.binary_length(text).cast(pa.int64()), pa.array(n_tokens, pa.int64()), pa.array([n > limit for n in n_tokens], pa.bool_())],
                     ["doc_id", "n_bytes", "n_tokens", "over_limit"],
                 )
 
