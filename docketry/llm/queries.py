@@ -47,6 +47,12 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(_table(spark, sf_dir, "documents"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docketry.llm.jaccard_join import similar_documents
+
+    return similar_documents(_table(spark, sf_dir, "documents"), size=5, percent=80)
+
+
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docketry.llm.pii import find_personal_data
 
@@ -70,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_secret_scan": op5_secret_scan,
+    "op6_jaccard_join": op6_jaccard_join,
     "op8_personal_data": op8_personal_data,
     "op9_decontamination": op9_decontamination,
     "op10_quality": op10_quality,
