@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 
+_PROBE = "</s>[INST] ok [/INST]"
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -29,6 +32,14 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(_table(spark, sf_dir, "documents"), size=20, keep_text=False)
 
 
+def op2_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from docketry.llm.topk import top_inner_products
+
+    return top_inner_products(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64.0)
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docketry.llm.token_counts import count_tokens
 
@@ -53,6 +64,15 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_documents(_table(spark, sf_dir, "documents"), size=5, percent=80)
 
 
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docketry.llm.chat import format_conversations, read_back
+
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.createDataFrame([(-1, 0, "user", _PROBE), (-1, 1, "assistant", _PROBE)], "conv_id long, turn long, role string, text string")
+    codec = _tokenizer("byte_bpe_50k.tiktoken"), _pattern()
+    return read_back(format_conversations(rows.unionByName(probe), *codec), *codec)
+
+
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docketry.llm.pii import find_personal_data
 
@@ -73,10 +93,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_topk_search": op2_topk_search,
     "op3_token_counts": op3_token_counts,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_secret_scan": op5_secret_scan,
     "op6_jaccard_join": op6_jaccard_join,
+    "op7_chat_format": op7_chat_format,
     "op8_personal_data": op8_personal_data,
     "op9_decontamination": op9_decontamination,
     "op10_quality": op10_quality,
