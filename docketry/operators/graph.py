@@ -18,6 +18,7 @@ LABEL = "http://www.w3.org/2000/01/rdf-schema#label"
 COMMENT = "http://www.w3.org/2000/01/rdf-schema#comment"
 SAME_AS = "http://www.w3.org/2002/07/owl#sameAs"
 XSD = "http://www.w3.org/2001/XMLSchema#"
+WIKIDATA = "http://www.wikidata.org/entity/"
 
 COLUMNS = ["s", "p", "o", "o_kind", "o_datatype", "o_lang"]
 
@@ -53,11 +54,24 @@ def union(*parts: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).dropDuplicates(COLUMNS)
 
 
-def entities(df: DataFrame, kind: str, cls: str, key: Column, label: Column, order: list[Column], *more: Column) -> DataFrame:
-    """Type, label and further statements of each entity, from the first row (by order) that mentions its key."""
-    named = df.withColumn("_iri", iri(kind, key)).filter(key.isNotNull())
-    first = named.withColumn("_r", F.row_number().over(Window.partitionBy("_iri").orderBy(*order))).filter("_r = 1")
-    return melt(first, F.col("_iri"), edge(TYPE, term(cls), schema=False), literal(LABEL, label, None, schema=False), *more)
+def mention(kind: str, cls: str, key: Column, label: Column, lang: str | None = None, *more: Column) -> Column:
+    """An entity that a record mentions: its IRI, class, label and further statements. Null if the key is."""
+    extra = F.array(*more) if more else F.array(literal(LABEL, F.lit(None)))
+    return F.when(key.isNotNull(), F.struct(iri(kind, key).alias("iri"), F.lit(cls).alias("cls"), label.alias("label"), F.lit(lang).cast("string").alias("lang"), extra.alias("more")))
+
+
+def entities(mentions: DataFrame) -> DataFrame:
+    """Type, label and further statements of each entity, from the first row (by ordinal, pos) that mentions it in column m. First mentions are found by aggregation, so one that a third of all records mention is met in parts."""
+    first = mentions.filter("m is not null").groupBy("m.iri").agg(F.min_by("m", F.struct("ordinal", "pos")).alias("m"))
+    label = F.when(F.col("m.label").isNotNull(), F.struct(F.lit(LABEL).alias("p"), F.col("m.label").alias("o"), F.lit("literal").alias("o_kind"), F.lit(None).cast("string").alias("o_datatype"), F.col("m.lang").alias("o_lang")))
+    rows = F.concat(F.array(edge(TYPE, term(F.col("m.cls")), schema=False), label), F.col("m.more"))
+    return melt_lists(first, F.col("iri"), rows)
+
+
+def melt_lists(df: DataFrame, subject: Column, *lists: Column) -> DataFrame:
+    """As melt, for lists of statements."""
+    every = F.concat(*lists) if len(lists) > 1 else lists[0]
+    return df.select(subject.alias("s"), F.explode(F.filter(every, lambda x: x.isNotNull())).alias("t")).select("s", "t.*")
 
 
 def case_records(cases: DataFrame) -> DataFrame:
@@ -84,14 +98,11 @@ def case_records(cases: DataFrame) -> DataFrame:
     return out.filter("itemid is not null").withColumn("case_iri", iri("case", F.col("itemid")))
 
 
-def scalar_triples(r: DataFrame) -> DataFrame:
-    """Literals and controlled terms of each case."""
+def case_triples(r: DataFrame) -> DataFrame:
+    """Everything that is said of the cases themselves, in one pass over them: literals, controlled terms, and edges from their lists."""
     c = F.col
-    date = c("judgementdate").cast("string")
     year = F.coalesce(F.when(c("year").rlike(r"^\d{4}$"), c("year")), F.year("judgementdate").cast("string"))
-    return melt(
-        r,
-        c("case_iri"),
+    scalars = F.array(
         edge(TYPE, term("CaseDocument"), schema=False),
         edge(TYPE, term(legal.case_class("judgment_type", "source")), schema=False),
         literal("hasItemId", c("itemid")),
@@ -99,7 +110,7 @@ def scalar_triples(r: DataFrame) -> DataFrame:
         literal(LABEL, c("case_name"), None, schema=False),
         literal("hasEcli", c("ecli")),
         literal("hasLanguageCode", c("languageisocode")),
-        literal("hasJudgmentDate", date, "date"),
+        literal("hasJudgmentDate", c("judgementdate").cast("string"), "date"),
         literal("hasYear", year, "gYear"),
         literal("hasCaseTextPath", c("case_text_path")),
         literal("hasApplicantName", c("appellant")),
@@ -112,40 +123,56 @@ def scalar_triples(r: DataFrame) -> DataFrame:
         edge("hasJudgmentType", F.when(c("judgment_type").isNotNull(), iri("judgment_type", c("judgment_type")))),
     )
 
+    def links(items: Column, p: str, kind: str) -> Column:
+        return F.transform(items, lambda x: edge(p, iri(kind, x)))
 
-def _rows(r: DataFrame, items: Column) -> DataFrame:
-    return r.select("ordinal", "case_iri", F.posexplode(items).alias("pos", "x"))
+    return melt_lists(
+        r,
+        c("case_iri"),
+        scalars,
+        links(F.array_distinct("case_appno"), "hasApplication", "application"),
+        links(F.array_distinct("cited_appno"), "citesApplication", "application"),
+        links(F.array_distinct("secondary_appno"), "referencesSecondaryApplication", "application"),
+        links(articles(), "concernsArticle", "convention_article"),
+        F.transform(legal.article_references("conclusion"), lambda x: literal("hasConclusionReference", x)),
+        links(c("kpthesaurus_labels"), "hasKeyword", "keyword"),
+        links(states(), "hasRespondentState", "country"),
+    )
 
 
-def list_parts(r: DataFrame) -> list[DataFrame]:
-    """Edges from list fields, and the entities they mention."""
-    x, order = F.col("x"), [F.col("ordinal"), F.col("pos")]
-    parts = [entities(r, "court_formation", "CourtFormation", F.col("originatingbody"), F.col("originatingbody"), [F.col("ordinal")]), entities(r, "judgment_type", "JudgmentType", F.col("judgment_type"), F.col("judgment_type"), [F.col("ordinal")])]
-    applications = []
-    for field, p in (("case_appno", "hasApplication"), ("cited_appno", "citesApplication"), ("secondary_appno", "referencesSecondaryApplication")):
-        rows = _rows(r, F.array_distinct(field))
-        applications.append(rows)
-        parts.append(melt(rows, F.col("case_iri"), edge(p, iri("application", x))))
-    parts.append(entities(reduce(DataFrame.union, applications), "application", "Application", x, x, order, literal("hasApplicationNumber", x)))
-
-    articles = [_rows(r, legal.expand_articles(F.array_distinct("article")))]
-    parts.append(melt(articles[0], F.col("case_iri"), edge("concernsArticle", iri("convention_article", x))))
-    parts.append(melt(_rows(r, legal.article_references("conclusion")), F.col("case_iri"), literal("hasConclusionReference", x)))
-    found = findings(r)
-    parts.append(melt(found, F.col("case_iri"), edge("hasFinding", F.col("finding"))))
-    parts.append(melt(found, F.col("finding"), edge(TYPE, term(F.col("cls")), schema=False), literal(LABEL, F.concat_ws(" ", "cls", "x"), None, schema=False), edge("findingRefersToArticle", iri("convention_article", x))))
-    articles.append(found.select("ordinal", "case_iri", "pos", "x"))
-    parts.append(entities(reduce(DataFrame.union, articles), "convention_article", "ConventionArticle", x, F.concat(F.lit("Article "), x), order))
+def articles() -> Column:
+    return legal.expand_articles(F.array_distinct("article"))
 
-    codes = F.filter(F.transform(F.split(F.col("kpthesaurus"), ";"), normalize_text), lambda k: k.isNotNull())
-    keywords = r.select("ordinal", "case_iri", F.coalesce(codes, F.array().cast("array<string>")).alias("codes"), F.posexplode("kpthesaurus_labels").alias("pos", "x")).withColumn("code", F.get("codes", F.col("pos")))
-    parts.append(melt(keywords, F.col("case_iri"), edge("hasKeyword", iri("keyword", x))))
-    parts.append(entities(keywords, "keyword", "Keyword", x, x, order, literal("hasKeywordCode", F.col("code"))))
 
-    states = _rows(r, ordered_unique("country_name", "respondent")).withColumn("x", legal.canonical_country("x"))
-    parts.append(melt(states, F.col("case_iri"), edge("hasRespondentState", iri("country", x))))
-    parts.append(countries(states))
-    return parts
+def states() -> Column:
+    """The respondent states' canonical names, of the lists of names and codes."""
+    return F.array_distinct(F.transform(ordered_unique("country_name", "respondent"), legal.canonical_country))
+
+
+def mentioned(r: DataFrame) -> DataFrame:
+    """(ordinal, pos, m) of all entities that cases mention, but for judges and findings."""
+    codes = F.coalesce(F.filter(F.transform(F.split(F.col("kpthesaurus"), ";"), normalize_text), lambda k: k.isNotNull()), F.array().cast("array<string>"))
+
+    def each(items: Column, make) -> Column:
+        return F.transform(items, make)
+
+    applications = each(F.concat("case_appno", "cited_appno", "secondary_appno"), lambda x: mention("application", "Application", x, x, None, literal("hasApplicationNumber", x)))
+    cited = F.concat(articles(), *[legal.expand_articles(F.array_distinct(f)) for f in ("violation", "nonviolation")])
+    every = F.concat(
+        F.array(*[mention(kind, cls, F.col(c), F.col(c)) for kind, cls, c in (("court_formation", "CourtFormation", "originatingbody"), ("judgment_type", "JudgmentType", "judgment_type"))]),
+        applications,
+        each(cited, lambda x: mention("convention_article", "ConventionArticle", x, F.concat(F.lit("Article "), x))),
+        F.transform("kpthesaurus_labels", lambda x, i: mention("keyword", "Keyword", x, x, None, literal("hasKeywordCode", F.get(codes, i)))),
+        each(states(), lambda x: mention("country", "Country", x, x, "en")),
+    )
+    return r.select("ordinal", F.posexplode(every).alias("pos", "m"))
+
+
+def finding_triples(r: DataFrame) -> DataFrame:
+    """Findings with their class, label and article, and the cases' edges to them."""
+    found = findings(r)
+    own = melt(found, F.col("finding"), edge(TYPE, term(F.col("cls")), schema=False), literal(LABEL, F.concat_ws(" ", "cls", "x"), None, schema=False), edge("findingRefersToArticle", iri("convention_article", F.col("x"))))
+    return own.unionAll(melt(found, F.col("case_iri"), edge("hasFinding", F.col("finding"))))
 
 
 def findings(r: DataFrame) -> DataFrame:
@@ -167,18 +194,14 @@ def number_findings(found: DataFrame) -> DataFrame:
     return found.withColumn("name", F.format_string("finding_%06d", number))
 
 
-def countries(states: DataFrame, ids: DataFrame | None = None) -> DataFrame:
-    """Country entities of rows with a canonical name x; ids (name, external) adds links to an external register."""
-    names = states.select("x").filter("x is not null").distinct()
-    out = melt(names, iri("country", F.col("x")), edge(TYPE, term("Country"), schema=False), literal(LABEL, F.col("x"), None, "en", schema=False))
-    if ids is None:
-        return out
-    linked = names.join(ids.select(F.col("name").alias("x"), "external"), "x")
-    return out.unionByName(melt(linked, iri("country", F.col("x")), edge(SAME_AS, F.concat(F.lit("http://www.wikidata.org/entity/"), "external"), schema=False)))
+def country_links(triples: DataFrame, ids: DataFrame) -> DataFrame:
+    """Links of countries to an external register, by ids (name, external)."""
+    named = triples.filter((F.col("p") == LABEL) & F.col("s").startswith(f"{DATA}country_")).select("s", F.col("o").alias("name"))
+    return melt(named.join(ids.select("name", "external"), "name"), F.col("s"), edge(SAME_AS, F.concat(F.lit(WIKIDATA), "external"), schema=False))
 
 
-def judge_parts(r: DataFrame, judges: DataFrame | None = None) -> list[DataFrame]:
-    """Judges by place in the lists of names and ids, with what the register `judges` (judge_id, name, country, tenure, role, role_length) has on them: found by id, else by name."""
+def judge_parts(r: DataFrame, judges: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Edges to judges, and the judges and their countries as mentions. Judges go by place in the lists of names and ids, with what the register `judges` (judge_id, name, country, tenure, role, role_length) has on them: found by id, else by name."""
     places = F.sequence(F.lit(0), F.greatest(F.size("judges"), F.size("judges_id")) - 1)
     slots = F.transform(places, lambda i: F.struct(F.get("judges", i).alias("name"), F.get("judges_id", i).try_cast("long").alias("id")))
     some = r.filter((F.size("judges") > 0) | (F.size("judges_id") > 0))
@@ -193,13 +216,17 @@ def judge_parts(r: DataFrame, judges: DataFrame | None = None) -> list[DataFrame
     tenure, presidency = year_range(F.col("a.tenure")), year_range(F.col("a.role_length"))
     country = legal.canonical_country(normalize_text(F.col("a.country")))
     links = melt(found, F.col("case_iri"), edge("hasJudge", iri("judge", F.col("key"))))
-    nodes = entities(
-        found, "judge", "Judge", F.col("key"), F.col("label"), [F.col("ordinal"), F.col("pos")],
+    judge = mention(
+        "judge", "Judge", F.col("key"), F.col("label"), None,
         literal("hasJudgeId", F.col("judge_id"), "integer"), literal("hasTenureBeginYear", tenure["start"], "gYear"), literal("hasTenureEndYear", tenure["end"], "gYear"),
         literal("isSectionPresident", F.when(normalize_text(F.col("a.role")) == "President", "true"), "boolean"), literal("hasPresidencyBeginYear", presidency["start"], "gYear"), literal("hasPresidencyEndYear", presidency["end"], "gYear"),
         edge("hasJudgeCountry", F.when(country.isNotNull(), iri("country", country))),
     )
-    return [links, nodes, countries(found.select(country.alias("x")))]
+    return links, found.select("ordinal", "pos", judge.alias("m")), found.select("ordinal", "pos", mention("country", "Country", country, country, "en").alias("m"))
+
+
+def _rows(r: DataFrame, items: Column) -> DataFrame:
+    return r.select("ordinal", "case_iri", F.posexplode(items).alias("pos", "x"))
 
 
 def citation_triples(r: DataFrame) -> DataFrame:
@@ -211,10 +238,15 @@ def citation_triples(r: DataFrame) -> DataFrame:
     return melt(pairs, F.col("citing"), edge("citesCase", F.col("cited")))
 
 
-def build(cases: DataFrame, judges: DataFrame | None = None) -> DataFrame:
+def build(cases: DataFrame, judges: DataFrame | None = None, country_ids: DataFrame | None = None) -> DataFrame:
     """All triples of the cases."""
     r = case_records(cases)
-    return union(scalar_triples(r), *list_parts(r), *judge_parts(r, judges), citation_triples(r))
+    links, judge, their_countries = judge_parts(r, judges)
+    nodes = entities(mentioned(r).unionAll(judge).unionAll(their_countries))
+    parts = [case_triples(r), links, nodes, finding_triples(r), citation_triples(r)]
+    if country_ids is not None:
+        parts.append(country_links(nodes, country_ids))
+    return union(*parts)
 
 
 def audit(triples: DataFrame) -> DataFrame:

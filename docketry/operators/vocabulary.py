@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.operators.graph import LABEL, SAME_AS, SCHEMA, TYPE, XSD
+from docketry.operators.graph import LABEL, SCHEMA, TYPE, WIKIDATA, XSD
 
 RDFS = "http://www.w3.org/2000/01/rdf-schema#"
 OWL = "http://www.w3.org/2002/07/owl#"
 DCTERMS = "http://purl.org/dc/terms/"
 FOAF = "http://xmlns.com/foaf/0.1/"
-WIKIDATA = "http://www.wikidata.org/entity/"
 
 # Classes with their superclass, and the terms of public vocabularies they are aligned to.
 CLASSES = {
@@ -92,5 +91,3 @@ def out_of_domain(data: DataFrame, vocabulary: DataFrame) -> DataFrame:
     good = checked.join(every.withColumnRenamed("cls", "domain"), ["s", "domain"], "left_semi")
     return checked.join(typed.select("s").distinct(), "s", "left_semi").join(good.select("s", "p", "o").distinct(), ["s", "p", "o"], "left_anti").select(data.columns)
 
-
-__all__ = ["triples", "terms", "set_ranges", "out_of_domain", "SAME_AS"]
