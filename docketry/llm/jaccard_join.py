@@ -222,12 +222,14 @@ def _meet(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 totals = [np.concatenate((np.zeros(1, np.uint64), np.cumsum(core.mix(h * np.uint64(k))))) for k in (3, 5)]
                 f1, f2 = (core.mix(t[at[1:]] - t[at[:-1]] + n.astype(np.uint64)) for t in totals)
                 owner = np.repeat(np.arange(len(n)), n)
-                rank = seen.value.order(h)
+                # shingles seen once come first: a document that is mostly its own then sends nothing
+                repeated = seen.value.repeated(h)
+                rank = np.where(repeated, seen.value.order(h) + np.uint32(1), np.uint32(0))
                 order = np.lexsort((h, rank, owner))
                 place = np.arange(len(h)) - np.repeat(at[:-1], n)
                 prefix = n - least_overlap(n, percent) + 1
                 first = order[place < np.repeat(prefix, n)]
-                first = first[seen.value.repeated(h[first])]
+                first = first[repeated[first]]
                 held.append((core.ids(part.column("doc_id")), n, f1, f2))
                 posted.append((h[first], owner[first] + docs_held))
                 docs_held += len(n)
