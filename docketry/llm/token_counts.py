@@ -11,7 +11,9 @@ each; other columns are ignored whatever their names; an empty table gives an em
 
 from __future__ import annotations
 
+import functools
 import json
+import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
@@ -31,6 +33,7 @@ WHITE = "\\t-\\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205
 #: The byte-level alphabet: printable Latin-1 characters stand for themselves, the other bytes for characters from U+0100 on.
 _PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 BYTE_CHARS = {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+CHAR_BYTES = {c: b for b, c in BYTE_CHARS.items()}
 
 
 def with_white(pattern: str) -> str:
@@ -38,10 +41,31 @@ def with_white(pattern: str) -> str:
     return pattern.replace("[^\\s", f"[^{WHITE}").replace("\\s", f"[{WHITE}]").replace("\\S", f"[^{WHITE}]")
 
 
+@functools.lru_cache(4)
+def disputed(path: str) -> tuple[tuple[int, int], ...]:
+    """Ranges of code points that the regex module takes for letters or numbers and the library, by its own Unicode tables, doesn't. Found by asking both about every code point, once, on the driver."""
+    from tokenizers import Tokenizer
+
+    every = "".join(chr(c) for c in range(0x80, 0x110000) if not 0xD800 <= c <= 0xDFFF)
+    letters = regex.findall(r"\p{L}", every)
+    chars = letters + regex.findall(r"\p{N}", every)
+    # a letter stays with letters around it; a number, which is taken by itself, parts from other marks
+    probe = " ".join(f"a{c}a" if i < len(letters) else f"${c}$" for i, c in enumerate(chars))
+    starts = {begin for _, (begin, _) in Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str(probe)}
+    wrong = sorted(ord(c) for i, c in enumerate(chars) if (4 * i + 1 in starts) == (i < len(letters)))
+    ranges: list[list[int]] = []
+    for c in wrong:
+        if ranges and ranges[-1][1] == c - 1:
+            ranges[-1][1] = c
+        else:
+            ranges.append([c, c])
+    return tuple((a, b) for a, b in ranges)
+
+
 class PieceCounter:
-    """Counts tokens of texts for a tokenizers file of this shape: optional NFC, white space and lower-case normalisers, a Split by regex, byte-level characters, a BPE model."""
+    """Counts tokens of texts for a tokenizers file of this shape: NFC, white space and lower-case normalisers, a Split by regex, byte-level characters, a BPE model. A text with one of the `ranges` of disputed characters is split by the library."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, ranges: tuple[tuple[int, int], ...]):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -56,6 +80,9 @@ class PieceCounter:
         special = [x["content"] for x in spec["added_tokens"]]
         self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True))))
         self.marks = special
+        first = chr(min((a for a, _ in ranges), default=0x10FFFF))
+        self.beyond = re.compile(f"[{first}-\U0010ffff]").search
+        self.disputed = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in ranges) + "]" if ranges else "(?!)").search
         self.pieces: dict[str, int] = {}
         self.held = 0
 
@@ -63,6 +90,11 @@ class PieceCounter:
         mapped = pre_token.encode().decode("latin-1").translate(BYTE_CHARS)
         return len(self.model(mapped))
 
+    def library_split(self, part: str) -> list[str]:
+        """The part's pre-tokens as the library gives them, turned back from byte-level characters to text."""
+        mapped = self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(part))
+        return [x.translate(CHAR_BYTES).encode("latin-1").decode() for x, _ in mapped]
+
     def table(self, text: str) -> tuple[Counter, int]:
         """The text's pre-token frequencies, and how many special tokens its text spells."""
         parts, marks = [text], 0
@@ -72,6 +104,9 @@ class PieceCounter:
         found: Counter = Counter()
         for part in parts:
             if not part.isascii():
+                if self.beyond(part) and self.disputed(part):
+                    found.update(self.library_split(part))
+                    continue
                 # the library lowers character by character, so a final sigma is like any other
                 part = unicodedata.normalize("NFC", part).replace("Σ", "σ")
             found.update(self.split(part.lower()))
@@ -97,8 +132,10 @@ class PieceCounter:
 def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 2048) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every document. One pass, no shuffle."""
 
+    ranges = disputed(tokenizer_path)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = PieceCounter(tokenizer_path)
+        counter = PieceCounter(tokenizer_path, ranges)
         for whole in batches:
             for part in core.slices(whole):
                 text = part.column("text").fill_null("")
