@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from docketry.llm import chat, oracles
+
 
 _PROBE = "</s>[INST] ok [/INST]"
 
@@ -105,4 +107,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: DuckDB SQL for the queries that SQL can express.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_substring_dedup": oracles.OP1,
+    "op2_topk_search": oracles.OP2,
+    "op6_jaccard_join": oracles.OP6,
+    "op7_chat_format": oracles.op7(chat.CONTROL, len(chat.TURN + chat.SAYS + chat.END)),
+    "op9_decontamination": oracles.OP9,
+}
