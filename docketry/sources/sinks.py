@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,12 +24,10 @@ def parquet(df: DataFrame, path: str, *partition: str) -> None:
 
 def json_array(df: DataFrame, limit: int = 100_000) -> str:
     """A small table as one indented JSON array; ValueError beyond `limit` rows."""
-    import json
-
-    rows = df.toJSON().take(limit + 1) if hasattr(df, "toJSON") else []
+    rows = df.take(limit + 1)
     if len(rows) > limit:
         raise ValueError(f"more than {limit} rows")
-    return json.dumps([json.loads(r) for r in rows], ensure_ascii=False, indent=2)
+    return json.dumps([r.asDict(recursive=True) for r in rows], ensure_ascii=False, indent=2, default=str)
 
 
 def lines(df: DataFrame, path: str, line: Column, *order: Column | str) -> None:

@@ -185,3 +185,20 @@ def test_resumable_ingest(spark, tmp_path):
     assert run() == ["a"]
     (source / "2.json").write_text('{"itemid": "a"}\n{"itemid": "b"}\n')
     assert run() == ["a", "b"]
+
+
+def test_sinks(spark, tmp_path):
+    df = spark.createDataFrame([(2, None, ["x"]), (1, "é", None)], "k int, v string, l array<string>")
+    sinks.json_lines(df, str(tmp_path / "j"), "k")
+    assert "".join(p.read_text() for p in sorted((tmp_path / "j").glob("part-*"))).splitlines()[0] == '{"k":1,"v":"é","l":null}'
+    assert '"v": "é"' in sinks.json_array(df)
+    with pytest.raises(ValueError):
+        sinks.json_array(df, limit=1)
+    sinks.csv(df.drop("l"), str(tmp_path / "c"))
+    assert readers.quoted_csv(spark, str(tmp_path / "c")).count() == 2
+    sinks.lines(df, str(tmp_path / "t"), F.concat_ws(" ", "k", "v"), "k")
+    assert "".join(p.read_text() for p in (tmp_path / "t").glob("part-*")) == "1 é\n2\n"
+    quads = spark.createDataFrame([("g1", "a"), ("g2", "b")], "g string, s string")
+    sinks.replace_graphs(quads, str(tmp_path / "q"))
+    sinks.replace_graphs(spark.createDataFrame([("g2", "c")], "g string, s string"), str(tmp_path / "q"))
+    assert sorted((r["g"], r["s"]) for r in spark.read.parquet(str(tmp_path / "q")).collect()) == [("g1", "a"), ("g2", "c")]
