@@ -8,6 +8,8 @@ of all windows' spans of a text those are kept that don't overlap and weigh most
 
 A base span always stays. The tagger's spans are added where they touch no base span and no text that a rule of the
 same kind has looked at and refused (such as a number that fails Luhn), and only if they have their kind's least digits.
+A refused text with fewer digits than that is a piece of a form that the rule doesn't know (a group of 4111.1111.1111.1111)
+and refuses nothing.
 
 Kinds: email, ip, card, phone. Spans are code points, end exclusive. Defined results: null text is empty; null doc_id
 stays null; each row gives one row; other columns are ignored (redact keeps them); an empty table gives an empty result.
@@ -32,6 +34,8 @@ KINDS = ("email", "ip", "card", "phone")
 WINDOW, STRIDE = 64, 32
 #: A batch of windows that is decoded at once.
 BATCH = 512
+#: Digits that a span of the tagger must have at least, by kind.
+LEAST = (0, 4, 16, 8)
 #: Mean score over "no personal data" that a span of the tagger must have.
 MARGIN = 0.5
 
@@ -265,8 +269,8 @@ def plausible(kind: int, text: str) -> bool:
         parts = re.findall(r"[0-9]+", text)
         return len(parts) == 4 and all(len(p) < 4 and int(p) < 256 for p in parts)
     if kind == 2:
-        return 16 <= digits <= 19 and luhn("".join(_DIGIT.findall(text)))
-    return 8 <= digits <= 15 and bool(re.match(r"[+(]|00", text))
+        return LEAST[2] <= digits <= 19 and luhn("".join(_DIGIT.findall(text)))
+    return LEAST[3] <= digits <= 15 and bool(re.match(r"[+(]|00", text))
 
 
 def find(tagger: Tagger, texts: list[str]) -> list[tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]]:
@@ -277,7 +281,7 @@ def find(tagger: Tagger, texts: list[str]) -> list[tuple[list[tuple[int, int, in
         every = sorted((s, e) for _, s, e in base)
         starts = [s for s, _ in every]
         reach = np.maximum.accumulate([e for _, e in every]) if every else []
-        refused = {k: [(s, e) for kind, s, e in failed if kind == k] for k in {x[0] for x in extra}}
+        refused = {k: [(s, e) for kind, s, e in failed if kind == k and len(_DIGIT.findall(text[s:e])) >= LEAST[k]] for k in {x[0] for x in extra}}
         added = []
         for kind, s, e in extra:
             i = bisect_right(starts, e - 1)

@@ -190,6 +190,19 @@ def test_added_spans_reach_disguised_forms_and_leave_refused_numbers():
     assert (1, 10, 25) in every and refused == [] and dates == []
 
 
+CARDS = ("4111.1111.1111.1111", "4111/1111/1111/1111", "5500.0000.0000.0004")
+
+
+@pytest.mark.parametrize("card", CARDS)
+def test_cards_in_groups_that_the_rule_does_not_know_are_added(spark, card):
+    docs = spark.createDataFrame([(1, f"he paid with {card} today"), (2, f"he paid with {card[:-1]}9 today"), (3, f"he paid with {card.replace(card[4], '')}0000 today")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.find_personal_data(docs).collect()}
+    assert got[1]["spans"] == f"card:13:{13 + len(card)}" and got[1]["n_card"] == 0
+    assert got[2]["spans"] == got[3]["spans"] == ""
+    masked = {r["doc_id"]: r["text"] for r in pii.redact(docs).collect()}
+    assert masked[1] == "he paid with <card> today" and masked[2] == f"he paid with {card[:-1]}9 today"
+
+
 def test_reconciled_spans_do_not_overlap():
     assert pii.reconcile([(0, 5, 1, 5.0), (4, 9, 1, 6.0), (9, 12, 0, 1.0)]) == [(1, 4, 9), (0, 9, 12)]
     assert pii.reconcile([]) == []
