@@ -2,8 +2,8 @@
 
 The tagger (crf_lstm.Tagger) is trained here, from a seed, on labelled spans that a generator writes: e-mail addresses,
 IP addresses, card and phone numbers in common and in disguised forms, among words, dates, prices and versions. Every
-kind in scope holds a digit or an "@", so windows of WINDOW characters, STRIDE apart, are laid wherever a text has one of
-these. Each window is decoded by Viterbi; spans cut by a window's edge give way to the neighbour that has them whole; and
+span in scope holds a digit, an "@", or a written-out "at" and a dot, so windows of WINDOW characters, STRIDE apart, are
+laid wherever a window has one of these. Each window is decoded by Viterbi; spans cut by a window's edge give way to the neighbour that has them whole; and
 of all windows' spans of a text those are kept that don't overlap and weigh most together (weighted intervals).
 
 A base span always stays. The tagger's spans are added where they touch no base span and no text that a rule of the
@@ -171,6 +171,34 @@ def make_examples(n: int, seed: int) -> tuple[list[str], list[list[tuple[int, in
     return lines, spans
 
 
+def make_written(n: int, seed: int) -> tuple[list[str], list[list[tuple[int, int, int]]]]:
+    """Generated prose without digits: every second line has an address whose "at" and "dot" are written out, the others an "at" or a dot in plain use."""
+    rng = np.random.default_rng(seed)
+
+    def one(options):
+        return options[int(rng.integers(len(options)))]
+
+    def word(low: int = 1, high: int = 10) -> str:
+        return "".join(rng.choice(list("aaeeiioouurstnlmdcphbgfwyk"), int(rng.integers(low, high))))
+
+    def prose(k: int) -> str:
+        words = (word() if rng.random() < 0.75 else one(("at", "to", "that", "do", "it", "dot", "add", "a")) for _ in range(k))
+        return "".join(w + one((" ", " ", " ", " ", ", ", ". ", "\n")) for w in words)
+
+    lines, spans = [], []
+    for i in range(n):
+        line, here = prose(int(rng.integers(0, 7))), []
+        if i % 2:
+            at, dot = one(((" at ", " dot "),) * 7 + (("[at]", "[dot]"), ("(at)", "(dot)"), (" [at] ", " [dot] "), (" (at) ", " (dot) "), (" at ", "."), ("[at]", "."), ("(at)", ".")))
+            text = one((word(3), word(2) + one("._-") + word(2))) + at + one((word(2), word(2) + dot + word(2), word(2) + "-" + word(2))) + dot + one(("com", "org", "de", "net", "eu", "info"))
+            here.append((0, len(line), len(line) + len(text)))
+        else:
+            text = word() + one((" at ", " at ", " at the ", " at that", " dot ", " (at ", " [at ")) + word() + one((". ", ".", " ", ", ", ") ")) + word()
+        lines.append(line + text + one((" ", ". ", ", ", "\n", "")) + prose(int(rng.integers(0, 7))))
+        spans.append(here)
+    return lines, spans
+
+
 def windows(line: str, spans: list[tuple[int, int, int]], at: int) -> tuple[np.ndarray, np.ndarray]:
     """A window's symbols and tags: 0 none, 1 + 2k begins kind k, 2 + 2k goes on."""
     ids, tags = np.zeros(WINDOW, np.uint8), np.zeros(WINDOW, np.int64)
@@ -187,8 +215,8 @@ def windows(line: str, spans: list[tuple[int, int, int]], at: int) -> tuple[np.n
 
 @functools.lru_cache(2)
 def trained(examples: int = 900, epochs: int = 9, seed: int = 5) -> Tagger:
-    """The tagger, trained anew in each process from the seed (some seconds)."""
-    lines, spans = make_examples(examples, seed)
+    """The tagger, trained anew in each process from the seed (some 15 seconds)."""
+    lines, spans = (a + b for a, b in zip(make_examples(examples, seed), make_written(4 * examples, seed), strict=True))
     rng = np.random.default_rng(seed)
     pairs = [windows(a, b, int(rng.integers(0, max(1, len(a) - STRIDE)))) for a, b in zip(lines, spans, strict=True)]
     tagger = Tagger(N_SYMBOLS, 1 + 2 * len(KINDS))
@@ -200,14 +228,34 @@ def trained(examples: int = 900, epochs: int = 9, seed: int = 5) -> Tagger:
 # ---- windows of texts
 
 
+def enclosed(codes: np.ndarray, word: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """Begins of a word with one of the pairs around it; all three in the same code."""
+    at = np.flatnonzero(codes == word[0])
+    at = at[(at > 0) & (at + len(word) < len(codes))]
+    for i, x in enumerate(word.tolist()):
+        at = at[codes[at + i] == x]
+    before, after = codes[at - 1], codes[at + len(word)]
+    return at[np.any([(before == x) & (after == y) for x, y in pairs.reshape(-1, 2).tolist()], 0)] - 1
+
+
+#: What stands around a written-out "at" or "dot" (see plausible).
+AROUND = "  []()"
+AT, DOT, PAIRS = symbols("at"), symbols("dot"), symbols(AROUND)
+
+
 def lay(ids: np.ndarray) -> np.ndarray:
-    """Begins of the windows of one text: every one on the grid that has a digit or an "@"."""
-    marks = np.flatnonzero((ids == 2) | (ids == 5))
-    if not len(marks):
-        return marks
-    cells = np.unique(marks // STRIDE)
-    cells = np.unique(np.concatenate((cells, cells - 1)))
-    return np.maximum(cells, 0)[cells >= (0 if len(ids) <= WINDOW else -1)] * STRIDE
+    """Begins of the windows of one text: every one on the grid that has a digit, an "@", or a written-out "at" and a dot."""
+    cells = len(ids) // STRIDE + 1
+
+    def has(at: np.ndarray) -> np.ndarray:
+        cell = np.zeros(cells + 1, bool)
+        cell[at // STRIDE] = True
+        return cell[:-1] | cell[1:]
+
+    laid, at = has(np.flatnonzero((ids == 2) | (ids == 5))), enclosed(ids, AT, PAIRS)
+    if len(at):
+        laid |= has(at) & has(np.concatenate((np.flatnonzero(ids == 6), enclosed(ids, DOT, PAIRS))))
+    return np.flatnonzero(laid) * STRIDE
 
 
 def tagged(tagger: Tagger, texts: list[np.ndarray]) -> list[list[tuple[int, int, int]]]:
@@ -297,8 +345,9 @@ def find(tagger: Tagger, texts: list[str]) -> list[tuple[list[tuple[int, int, in
 
 
 def marked(flat: core.Flat) -> np.ndarray:
-    """Numbers of the texts that have a digit or an "@"."""
-    at = np.flatnonzero(MARK[flat.buf])
+    """Numbers of the texts that have a digit, an "@" or a written-out "at"; lay() looks for the dot beside it."""
+    words = enclosed(flat.buf, np.frombuffer(b"at", np.uint8), np.frombuffer(AROUND.encode(), np.uint8)) + 1
+    at = np.sort(np.concatenate((np.flatnonzero(MARK[flat.buf]), words)))
     return np.unique(np.searchsorted(flat.start, at, "right") - 1)
 
 

@@ -203,6 +203,27 @@ def test_cards_in_groups_that_the_rule_does_not_know_are_added(spark, card):
     assert masked[1] == "he paid with <card> today" and masked[2] == f"he paid with {card[:-1]}9 today"
 
 
+WRITTEN = ("anna at host dot org", "anna[at]host[dot]org", "anna(at)host(dot)org")
+
+
+def test_windows_lie_at_written_out_addresses():
+    for address in WRITTEN:
+        for k in range(0, 150):
+            ids = pii.symbols("x" * k + " " + address + " " + "x" * 70)
+            laid = pii.lay(ids)
+            assert any(b <= k + 1 and k + 1 + len(address) <= b + pii.WINDOW for b in laid), (address, k)
+    assert not len(pii.lay(pii.symbols("no such place " * 20 + "at " + "x" * 100 + ".")))
+
+
+@pytest.mark.parametrize("address", WRITTEN)
+def test_addresses_without_a_digit_are_found_and_masked(spark, address):
+    docs = spark.createDataFrame([(1, f"please ask {address} for more"), (2, "They met at the court. Then, at noon, all went home."), (3, address)], "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in pii.find_personal_data(docs).collect()}
+    assert got == {1: f"email:11:{11 + len(address)}", 2: "", 3: f"email:0:{len(address)}"}
+    masked = {r["doc_id"]: r["text"] for r in pii.redact(docs).collect()}
+    assert masked[1] == "please ask <email> for more" and masked[2].startswith("They met at") and masked[3] == "<email>"
+
+
 def test_reconciled_spans_do_not_overlap():
     assert pii.reconcile([(0, 5, 1, 5.0), (4, 9, 1, 6.0), (9, 12, 0, 1.0)]) == [(1, 4, 9), (0, 9, 12)]
     assert pii.reconcile([]) == []
