@@ -325,6 +325,13 @@ def citation_self_join(spark, d):
     return tables.citations(x.filter("item % 10 <> 0"), x.filter("item % 10 = 0"))
 
 
+@query("""WITH x AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) SELECT DISTINCT a.l_orderkey AS citing, b.l_orderkey AS cited FROM x a JOIN x b ON a.l_partkey = b.l_partkey WHERE a.l_orderkey <> b.l_orderkey""")
+def citation_self_join_all(spark, d):
+    # every order plays a citing case and a cited one
+    x = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("item"), F.col("l_partkey").alias("value"))
+    return tables.citations(x, x)
+
+
 @query("""WITH l AS (SELECT conv_id, list(role ORDER BY turn) AS a, list(length(text) ORDER BY turn) FILTER (turn > 0) AS b FROM conversations GROUP BY conv_id), u AS (SELECT conv_id, a, b, unnest(range(greatest(len(a), coalesce(len(b), 0)))) AS pos FROM l) SELECT conv_id, pos::INTEGER AS pos, a[pos + 1] AS role, b[pos + 1]::INTEGER AS chars FROM u""")
 def ragged_zip(spark, d):
     rows = F.array_sort(F.collect_list(F.struct("turn", "role", F.length("text").alias("chars"))))

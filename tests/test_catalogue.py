@@ -21,3 +21,11 @@ def test_entry_points():
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert set(catalogue.QUERIES) <= set(e.queries())
+
+
+def test_every_order_cites_every_other_with_a_common_part(spark, tmp_path):
+    rows = [(o, p) for o in (1, 2, 3, 10, 20, 30) for p in (o % 2, 7, None)] + [(1, 7), (40, 99), (None, 7)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    want = sorted({(a, b) for a, p in rows for b, q in rows if None not in (a, b, p) and p == q and a != b})
+    assert (1, 2) in want and (10, 20) in want
+    assert sorted(map(tuple, catalogue.QUERIES["citation_self_join_all"](spark, str(tmp_path)).collect())) == want
