@@ -38,6 +38,19 @@ def segment_stats(df: DataFrame, segments: list[str], least: int = 15) -> DataFr
     return long.groupBy("segment").agg(F.count(x).alias("n"), F.round(100.0 * F.count(x) / F.count(F.lit(1)), 1).alias("pct"), F.coalesce(F.avg(x), F.lit(0.0)).alias("mean"), F.coalesce(F.median(x), F.lit(0.0)).alias("median"))
 
 
+def slot_stats(df: DataFrame, items: Column, least: int = 15) -> DataFrame:
+    """segment_stats of every place of a list of texts (slot, from 0), as far as the longest list goes; the share is of all rows. Equal lengths of a place are counted first, so only distinct lengths are ordered."""
+    length = F.when(F.length("item") > least, F.length("item"))
+    counts = df.select(F.posexplode(items).alias("slot", "item")).select("slot", length.alias("chars")).groupBy("slot", "chars").agg(F.count("chars").alias("k"))
+    each = Window.partitionBy("slot")
+    ranked = counts.withColumns({"n": F.sum("k").over(each), "upto": F.sum("k").over(each.orderBy("chars"))})
+    lower, upper = (F.min(F.when(F.col("upto") > F.floor((F.col("n") - i) / 2), F.col("chars"))) for i in (1, 0))
+    slots = ranked.groupBy("slot").agg(F.max("n").alias("n"), (F.sum(F.col("chars") * F.col("k")) / F.nullif(F.max("n"), F.lit(0))).alias("mean"), ((lower + upper) / 2).alias("median"))
+    total = df.agg(F.count(F.lit(1)).alias("total"))
+    share = F.round(100.0 * F.col("n") / F.col("total"), 1).alias("pct")
+    return slots.crossJoin(F.broadcast(total)).select("slot", "n", share, *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("mean", "median")])
+
+
 def shares(counts: DataFrame, within: list[str], n: str = "n") -> DataFrame:
     """counts with each row's share of its group's sum."""
     return counts.withColumn("share", F.col(n) / F.sum(n).over(Window.partitionBy(*within)))

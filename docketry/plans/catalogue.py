@@ -62,6 +62,12 @@ def doc_section_presence(spark, d):
     return out.select("segment", "n", "pct", F.round("mean", 6).alias("mean"), F.col("median").cast("double").alias("median"))
 
 
+@query()
+def doc_section_presence_all(spark, d):
+    out = stats.slot_stats(table(spark, d, "documents"), F.split("text", "\n"))
+    return out.select(F.concat(F.lit("s"), F.col("slot").cast("string")).alias("segment"), "n", "pct", F.round("mean", 6).alias("mean"), F.col("median").cast("double").alias("median"))
+
+
 @query("""WITH x AS (SELECT lang, length(text) AS v FROM documents), q AS (SELECT lang, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.5) AS median, quantile_cont(v, 0.75) AS q3 FROM x GROUP BY lang)
 SELECT lang, q1::DOUBLE AS q1, median::DOUBLE AS median, q3::DOUBLE AS q3, min(v) FILTER (v >= q1 - 1.5 * (q3 - q1)) AS low, max(v) FILTER (v <= q3 + 1.5 * (q3 - q1)) AS high FROM x JOIN q USING (lang) GROUP BY lang, q1, median, q3""")
 def doc_length_box_plot(spark, d):
@@ -84,6 +90,13 @@ def numbered_paragraphs(spark, d):
     return table(spark, d, "documents").select("doc_id", F.regexp_replace(first, r"(?U)^(\d+\.)\s*([^\n]*)", "**$1** $2").alias("line"))
 
 
+@query()
+def numbered_paragraphs_all(spark, d):
+    # a document without text keeps one row
+    lines = table(spark, d, "documents").select("doc_id", F.posexplode_outer(F.split("text", "\n")).alias("pos", "line"))
+    return lines.withColumn("line", F.regexp_replace("line", r"(?U)^(\d+\.)\s*([^\n]*)", "**$1** $2"))
+
+
 # ---- HTML
 
 
