@@ -226,6 +226,13 @@ def appellant_style_cascade(spark, d):
     return table(spark, d, "documents").withColumn("name", name).filter(~F.col("name").rlike("[\n\t]")).select("doc_id", text.appellant("name").alias("appellant"))
 
 
+@query()
+def appellant_style_cascade_all(spark, d):
+    party = F.when(F.col("doc_id") % 3 == 0, " v. STATE").when(F.col("doc_id") % 3 == 1, " c. ETAT").otherwise("")
+    name = F.concat(F.lit("CASE OF "), F.substring_index("text", ".", 1), party)
+    return table(spark, d, "documents").withColumn("name", name).select("doc_id", text.appellant("name").alias("appellant"))
+
+
 @query("""WITH t AS (SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'Criminal charge' WHEN 1 THEN 'Civil  proceedings' WHEN 2 THEN 'Criminal charge Civil proceedings' WHEN 3 THEN 'Constitutional court' WHEN 4 THEN 'Constitutional court Civil proceedings' WHEN 5 THEN 'Death penalty' ELSE 'None' END AS x FROM documents)
 SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'Criminal' WHEN 1 THEN 'Civil' WHEN 2 THEN 'Mixed' WHEN 3 THEN 'Constitutional' WHEN 4 THEN 'Constitutional' WHEN 5 THEN 'Criminal' ELSE 'Unspecified' END AS limb FROM t""")
 def keyword_rule_classify(spark, d):

@@ -58,3 +58,22 @@ def test_sections_of_the_whole_text_count(spark, tmp_path):
     assert sorted(map(tuple, got)) == sorted(want) and want[6][1] == 1
     first = {tuple(r) for r in catalogue.QUERIES["doc_section_presence"](spark, FOLDER).collect()}
     assert first <= {tuple(r) for r in catalogue.QUERIES["doc_section_presence_all"](spark, FOLDER).collect()}
+
+
+def plain_appellant(i, t):
+    if t is None:
+        return None
+    name = re.sub(r"^(CASE OF|AFFAIRE)\s+", "", "CASE OF " + t.split(".")[0] + ("" if i is None else (" v. STATE", " c. ETAT", "")[i % 3]), flags=re.I)
+    for pattern in (r"(.+?)(?:\s*\(v\.\s*| v\.)", r"(.+?)\s+c\."):
+        if m := re.search(pattern, name, re.I):
+            return m[1].strip()
+    return name.strip() or None
+
+
+def test_every_document_has_an_appellant_row(spark, tmp_path):
+    rows = [(0, "Heading\nSmith and others. More"), (1, "a\tb. c"), (2, "x\ny (v. z. w"), (3, None), (4, "\n\nDoe"), (5, "plain. text"), (None, "no id\nhere. x"), (6, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    for folder in (str(tmp_path), FOLDER):
+        docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()
+        got = catalogue.QUERIES["appellant_style_cascade_all"](spark, folder).collect()
+        assert sorted(map(tuple, got), key=repr) == sorted(((i, plain_appellant(i, t)) for i, t in docs), key=repr)
