@@ -60,7 +60,10 @@ places AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS k FROM (
 hit AS (SELECT DISTINCT p.doc_id, win.n, p.i, item_id FROM places p JOIN win ON p.k = win.k AND p.n = win.n),
 words AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS j FROM hit) GROUP BY doc_id),
 items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hit WHERE item_id IS NOT NULL) GROUP BY doc_id),
-runs AS (SELECT doc_id, max(c) AS longest FROM (SELECT doc_id, j - r AS g, count(*) AS c FROM (SELECT doc_id, j, row_number() OVER (PARTITION BY doc_id ORDER BY j) AS r FROM (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS j FROM hit)) GROUP BY ALL) GROUP BY doc_id)
-SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(longest, 0)::BIGINT AS longest_hit
-FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN runs USING (doc_id)
+from_item AS (SELECT x, item_id, i, least(len(w), 10) AS n, array_to_string(w[i:i + 9], ' ') AS k FROM (SELECT row_number() OVER () AS x, item_id, w, unnest(range(1, greatest(len(w) - 8, 2))) AS i FROM b WHERE len(w) > 0)),
+met AS (SELECT p.doc_id, p.i, f.x, f.item_id::VARCHAR AS item, f.i AS j, f.n FROM places p JOIN from_item f ON p.k = f.k AND p.n = f.n),
+runs AS (SELECT doc_id, item, n + count(*) - 1 AS words, min(i) - 1 AS pos, min(j) - 1 AS item_at FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, x, i - j ORDER BY i) AS g FROM met) GROUP BY doc_id, x, item, n, i - j, g),
+longest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY words DESC, pos, item NULLS LAST, item_at) AS r FROM runs) WHERE r = 1)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(longest.words, 0)::BIGINT AS longest_hit, longest.pos::BIGINT AS longest_at, longest.item AS longest_item, longest.item_at::BIGINT AS longest_item_at
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN longest USING (doc_id)
 """

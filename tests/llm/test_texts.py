@@ -288,6 +288,25 @@ def plain_overlaps(docs, items, size):
     return out
 
 
+def plain_matches(t, items, size):
+    """All (words, begin in the text, item, begin in the item) of longest common stretches of a window or more."""
+    w = words(t)
+    for i, x in items:
+        v = words(x)
+        for a in range(len(w)):
+            for b in range(len(v)):
+                n = 0
+                while a + n < len(w) and b + n < len(v) and w[a + n] == v[b + n]:
+                    n += 1
+                if n and n >= min(size, len(v)):
+                    yield n, a, None if i is None else str(i), b
+
+
+def plain_longest(t, items, size):
+    best = min(((-n, a, i is None, i or "", b) for n, a, i, b in plain_matches(t, items, size)), default=None)
+    return (0, None, None, None) if best is None else (-best[0], best[1], None if best[2] else best[3], best[4])
+
+
 def test_suffix_search_equals_brute_force():
     rng = random.Random(5)
 
@@ -296,23 +315,59 @@ def test_suffix_search_equals_brute_force():
 
     for _ in range(150):
         docs = [(i, make(60)) for i in range(12)] + [(99, None), (98, "")]
-        items = [(i, make(9)) for i in range(5)] + [(3, make(3)), (None, make(4)), (7, None)]
+        items = [(i, make(9)) for i in range(5)] + [(3, make(3)), (None, make(4)), (7, None), (8, make(25))]
+        docs += [(50, make(5) + items[-1][1] + make(5)), (51, make(5) + items[-1][1][3:])]
         size = rng.choice([1, 2, 3, 4, 6])
-        windows = decontaminate.Windows([i for i, _ in items], [t for _, t in items], size)
-        w, hit, doc, win = decontaminate.places(pa.array([t for _, t in docs], pa.string()), windows)
-        its = decontaminate.items_of(doc, win, windows)
-        want = plain_overlaps(docs, items, size)
-        assert [(int(w.count[i]), int(hit[w.first[i] : w.last[i]].sum()), len(its.get(i, []))) for i in range(len(docs))] == [x[1:4] for x in want]
+        bench = decontaminate.Suffixes([i for i, _ in items], [t for _, t in items], size)
+        m = decontaminate.Matches(pa.array([t for _, t in docs], pa.string()), bench)
+        w, want = m.words, plain_overlaps(docs, items, size)
+        named = [len({bench.names[k] for t, k in zip(m.text.tolist(), m.item.tolist(), strict=True) if t == d and bench.names[k] is not None}) for d in range(len(docs))]
+        assert [(int(w.count[i]), int(m.hit[w.first[i] : w.last[i]].sum()), named[i]) for i in range(len(docs))] == [x[1:4] for x in want]
+        got = [(0, None, None, None)] * len(docs)
+        for d, k in zip(*(x.tolist() for x in m.longest()), strict=True):
+            s = m.suffix[k]
+            got[d] = (int(m.depth[k]), int(m.place[k] - w.first[d]), bench.names[bench.item[s]], int(bench.word[s]))
+        assert got == [plain_longest(t, items, size) for _, t in docs]
+
+
+def test_suffixes_of_one_word_over_and_over():
+    bench = decontaminate.Suffixes([1], ["a " * 60], 10)
+    m = decontaminate.Matches(pa.array(["a " * 5000, "b " + "a " * 30]), bench)
+    assert m.hit[:5000].all() and m.hit[5001:].all() and not m.hit[5000]
+    assert [int(m.depth[k]) for k in m.longest()[1]] == [60, 30]
+
+
+def test_longest_matches_of_items(spark, monkeypatch):
+    rng = random.Random(6)
+
+    def make(n):
+        return " ".join(rng.choice("abcd") for _ in range(n))
+
+    items = [(f"i{i}", make(30)) for i in range(8)] + [("i0", make(12)), (None, make(12)), ("short", "a b"), ("none", "z y x"), ("empty", "")]
+    docs = [(i, make(40) + " " + items[i % 8][1][: rng.randint(0, 60)]) for i in range(30)] + [(None, "a b c"), (31, None)]
+    df, benchmark = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id string, text string")
+    best: dict = {}
+    for d, t in docs:
+        for n, a, i, b in plain_matches(t, items, 5):
+            if i is not None:
+                way = (-n, b, -1 if d is None else d, a)
+                best[i] = min(best.get(i, way), way)
+    want = {(i, -n, b, None if d < 0 else d, a) for i, (n, b, d, a) in best.items()}
+    assert {tuple(r) for r in decontaminate.longest_matches(df, benchmark, 5).collect()} == want
+    monkeypatch.setattr(decontaminate, "CHUNK_BYTES", 200)
+    assert {tuple(r) for r in decontaminate.longest_matches(df, benchmark, 5).collect()} == want
 
 
 def test_decontamination_of_tables(spark, small, edge_docs, empty_docs, monkeypatch):
     benchmark = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
     docs, items = [tuple(r) for r in small.select("doc_id", "text").collect()], [tuple(r) for r in benchmark.select("item_id", "text").collect()]
     want = sorted(plain_overlaps(docs, items, 10))
-    assert sorted(tuple(r)[:6] for r in decontaminate.decontaminate(small, benchmark).collect()) == want
+    whole = sorted(map(tuple, decontaminate.decontaminate(small, benchmark).collect()))
+    assert [r[:6] for r in whole] == want
     monkeypatch.setattr(decontaminate, "CHUNK_BYTES", 4000)  # a benchmark beyond the bound of one broadcast
-    assert sorted(tuple(r)[:6] for r in decontaminate.decontaminate(small, benchmark).collect()) == want
+    assert sorted(map(tuple, decontaminate.decontaminate(small, benchmark).collect())) == whole
     clean = {r["doc_id"] for r in decontaminate.keep_clean(small, benchmark).collect()}
     assert clean == {w[0] for w in want if not w[5]}
     assert decontaminate.decontaminate(edge_docs, benchmark).count() == edge_docs.count()
     assert decontaminate.decontaminate(empty_docs, benchmark).collect() == [] and decontaminate.decontaminate(small, benchmark.limit(0)).filter("contaminated").count() == 0
+    assert decontaminate.longest_matches(empty_docs, benchmark).collect() == [] and decontaminate.longest_matches(edge_docs, benchmark).count() == 0
