@@ -41,20 +41,35 @@ def with_white(pattern: str) -> str:
     return pattern.replace("[^\\s", f"[^{WHITE}").replace("\\s", f"[{WHITE}]").replace("\\S", f"[^{WHITE}]")
 
 
+def normal(text: str) -> str:
+    """NFC and lower case by Python's tables. The library lowers character by character, so a final sigma is like any other."""
+    return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+
+
 @functools.lru_cache(4)
 def disputed(path: str) -> tuple[tuple[int, int], ...]:
-    """Ranges of code points that the regex module takes for letters or numbers and the library, by its own Unicode tables, doesn't. Found by asking both about every code point, once, on the driver."""
+    """Ranges of code points that Python's and the regex module's Unicode tables treat otherwise than the library's: letters or numbers to one only, composed, ordered or lowered differently, or not assigned in Python's tables at all. Found by asking both about every code point, once, on the driver."""
     from tokenizers import Tokenizer
 
-    every = "".join(chr(c) for c in range(0x80, 0x110000) if not 0xD800 <= c <= 0xDFFF)
+    tokenizer = Tokenizer.from_file(path)
+    points = [chr(c) for c in range(0x80, 0x110000) if not 0xD800 <= c <= 0xDFFF]
+    # what Python doesn't know is disputed anyway; it may compose with what follows
+    wrong = {ord(c) for c in points if unicodedata.category(c) == "Cn"}
+    points = [c for c in points if ord(c) not in wrong]
+    every = "".join(points)
     letters = regex.findall(r"\p{L}", every)
     chars = letters + regex.findall(r"\p{N}", every)
     # a letter stays with letters around it; a number, which is taken by itself, parts from other marks
     probe = " ".join(f"a{c}a" if i < len(letters) else f"${c}$" for i, c in enumerate(chars))
-    starts = {begin for _, (begin, _) in Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str(probe)}
-    wrong = sorted(ord(c) for i, c in enumerate(chars) if (4 * i + 1 in starts) == (i < len(letters)))
+    starts = {begin for _, (begin, _) in tokenizer.pre_tokenizer.pre_tokenize_str(probe)}
+    wrong |= {ord(c) for i, c in enumerate(chars) if (4 * i + 1 in starts) == (i < len(letters))}
+    # between marks of the classes 232 and 220 every combining character shows its class by its place
+    points = [c for c in points if not c.isspace()]
+    probe = "|".join(f"{c};a{c};a\u0315{c}\u0323" for c in points)
+    theirs, ours = (x.split("|") for x in (tokenizer.normalizer.normalize_str(probe), normal(probe)))
+    wrong |= {ord(c) for c, x, y in zip(points, theirs, ours, strict=True) if x != y}
     ranges: list[list[int]] = []
-    for c in wrong:
+    for c in sorted(wrong):
         if ranges and ranges[-1][1] == c - 1:
             ranges[-1][1] = c
         else:
@@ -107,9 +122,9 @@ class PieceCounter:
                 if self.beyond(part) and self.disputed(part):
                     found.update(self.library_split(part))
                     continue
-                # the library lowers character by character, so a final sigma is like any other
-                part = unicodedata.normalize("NFC", part).replace("Σ", "σ")
-            found.update(self.split(part.lower()))
+                found.update(self.split(normal(part)))
+            else:
+                found.update(self.split(part.lower()))
         return found, marks
 
     def __call__(self, text: str) -> int:

@@ -22,7 +22,7 @@ from docketry.llm.crf_lstm import Tagger
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
-TRICKY = ["", "It's <|endoftext|>x<|startoftext|> ΑΣ ΑΣΣ İ ñ ñ \x1c\x85 y", "a" * 3000, " " * 300 + "x", "ab" * 2000 + "!!!" * 50, "😀👍🏽 12 345 　z", "\x00\x01 don't 're 'S", "ſK 'll''s <|endoftext", "thenanananre anananan", "Ê\U000187f8 x\U00011de0\U00011de1 $\u0558a"]
+TRICKY = ["", "It's <|endoftext|>x<|startoftext|> ΑΣ ΑΣΣ İ ñ ñ \x1c\x85 y", "a" * 3000, " " * 300 + "x", "ab" * 2000 + "!!!" * 50, "😀👍🏽 12 345 　z", "\x00\x01 don't 're 'S", "ſK 'll''s <|endoftext", "thenanananre anananan", "ab\ua7dccd \ua7cb", "Ê\U000187f8 x\U00011de0\U00011de1 $\u0558a"]
 text = st.text(alphabet=st.one_of(st.sampled_from(list("aenrst' .1<|>\néΣ")), st.characters(codec="utf-8")), max_size=60)
 
 
@@ -36,6 +36,16 @@ def test_token_counts_of_tricky_texts(counter, t):
     assert counter[0](t) == len(counter[1].encode(t, add_special_tokens=False).ids)
 
 
+def test_token_counts_of_letters_that_tables_differ_on(counter):
+    """The borders of all disputed ranges, two letters that only newer tables lower, and a sample of all code points; all of them in three places were compared once."""
+    rng = random.Random(8)
+    borders = {c + k for ends in token_counts.disputed(WORD_BPE) for c in ends for k in (-1, 0, 1)}
+    points = [chr(c) for c in sorted(borders | {0xA7CB, 0xA7DC} | {rng.randrange(0x80, 0x110000) for _ in range(1500)}) if c < 0x110000 and not 0xD800 <= c <= 0xDFFF]
+    for place in ("ab{0}cd {0}", "a{0}\u0301 x{0}1{0}", "\u0315{0}\u0323 {0}{0}"):
+        lines = [place.format(c) for c in points]
+        assert [counter[0](t) for t in lines] == [len(e.ids) for e in counter[1].encode_batch(lines, add_special_tokens=False)]
+
+
 @given(text)
 @settings(max_examples=400, deadline=None)
 def test_token_counts_equal_the_library(t):
