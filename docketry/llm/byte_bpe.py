@@ -17,6 +17,7 @@ columns beyond doc_id and text are ignored; an empty table gives an empty result
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -251,6 +252,12 @@ class ByteBpe:
         return gather(self.body, self.offset[ids], self.length[ids]).tobytes()
 
 
+@functools.lru_cache(2)
+def coder(ranks_path: str, pattern: str) -> ByteBpe:
+    """The encoder of a file of ranks, built once in each process."""
+    return ByteBpe(read_ranks(ranks_path), pattern)
+
+
 def gather(body: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
     """body[start : start + length] of all rows, end to end."""
     shift = start - (np.cumsum(length) - length)
@@ -297,7 +304,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, keep_ids: b
     """doc_id, n_tokens, ids_sha256, decoded_sha256 (of the ids as little-endian 32-bit integers, and of what decoding them gives), and the ids themselves as such bytes if wanted. One pass, no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = ByteBpe(read_ranks(ranks_path), pattern)
+        bpe = coder(ranks_path, pattern)
         pool = Pool(bpe)
 
         def out() -> Iterator[pa.RecordBatch]:

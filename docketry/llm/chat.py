@@ -18,14 +18,15 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketry.llm.byte_bpe import read_ranks
+from docketry.llm import core
+from docketry.llm.byte_bpe import Pool, coder
 
 #: The marks' text forms, and the control strings of common templates that are escaped inside content.
 TURN, SAYS, END = "<|turn|>", "<|says|>", "<|end|>"
@@ -44,21 +45,22 @@ def unescape(text: str) -> str:
 
 
 class Codec:
-    """Segments to ids and back, with three reserved ids above the vocabulary."""
+    """Segments to ids and back by byte_bpe's encoder (which takes runs of any length), with three reserved ids above the vocabulary."""
 
     def __init__(self, ranks_path: str, pattern: str):
-        import tiktoken
-
-        ranks = read_ranks(ranks_path)
-        self.plain = tiktoken.Encoding("segments", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.turn, self.says, self.end = (max(ranks.values()) + k for k in (1, 2, 3))
+        self.bpe = coder(ranks_path, pattern)
+        self.turn, self.says, self.end = (self.bpe.size - 1 + k for k in (1, 2, 3))
         self.marks = {self.turn: TURN, self.says: SAYS, self.end: END}
 
-    def encode(self, role: str, text: str) -> tuple[np.ndarray, int, int]:
-        """A turn's ids, and the bounds of its text among them."""
-        a, b = self.plain.encode_ordinary(escape(role)), self.plain.encode_ordinary(escape(text))
-        ids = np.array([self.turn, *a, self.says, *b, self.end], "<u4")
-        return ids, len(a) + 2, len(a) + 2 + len(b)
+    def encode(self, turns: Iterable[tuple[str, str]]) -> Iterator[tuple[np.ndarray, int, int]]:
+        """Each turn's ids, and the bounds of its text among them. The distinct pre-tokens of all turns are encoded together, the segments spliced."""
+        pool = Pool(self.bpe)
+        for role, text in turns:
+            pool.add(escape(role))
+            pool.add(escape(text))
+        made = pool.flush()
+        for (a,), (b,) in zip(made, made, strict=True):
+            yield np.concatenate(([self.turn], a, [self.says], b, [self.end])).astype("<u4"), len(a) + 2, len(a) + 2 + len(b)
 
     def segments(self, ids: np.ndarray) -> list[tuple[str, str]]:
         """(role, text) of all turns in a sequence of ids, both still escaped."""
@@ -66,7 +68,7 @@ class Codec:
         return [(self.text(ids[a + 1 : b]), self.text(ids[b + 1 : c])) for a, b, c in zip(begin, middle, end, strict=True)]
 
     def text(self, ids: np.ndarray) -> str:
-        return self.plain.decode_bytes(ids.tolist()).decode()
+        return self.bpe.decode(ids).decode()
 
 
 _TURNS = "conv_id long, seq long, ids binary, token_start long, loss_start long, loss_end long"
@@ -79,16 +81,12 @@ def format_conversations(conversations: DataFrame, ranks_path: str, pattern: str
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(ranks_path, pattern)
-        for b in batches:
-            ids, begin, end = [], [], []
-            for role, t in zip(b.column("role").to_pylist(), b.column("text").to_pylist(), strict=True):
-                x, s, e = codec.encode(role, t)
-                if role != LOSS_ROLE:
-                    s = e
-                ids.append(x.tobytes())
-                begin.append(s)
-                end.append(e)
-            yield pa.RecordBatch.from_arrays([b.column("conv_id"), b.column("turn"), b.column("role"), b.column("text"), pa.array(ids, pa.binary()), pa.array(begin, pa.int64()), pa.array(end, pa.int64())], ["conv_id", "turn", "role", "text", "ids", "begin", "end"])
+        for whole in batches:
+            for b in core.slices(whole):
+                roles = b.column("role").to_pylist()
+                ids, begin, end = zip(*codec.encode(zip(roles, b.column("text").to_pylist(), strict=True)), strict=True)
+                begin = [s if role == LOSS_ROLE else e for role, s, e in zip(roles, begin, end, strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column("conv_id"), b.column("turn"), b.column("role"), b.column("text"), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array(begin, pa.int64()), pa.array(end, pa.int64())], ["conv_id", "turn", "role", "text", "ids", "begin", "end"])
 
     def splice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_, seq, offset = object(), 0, 0

@@ -223,6 +223,13 @@ def test_chat_reads_back(spark, codec):
     assert chat.read_back(chat.format_conversations(df.limit(0), *codec), *codec).collect() == []
 
 
+def test_chat_takes_long_white_space(spark, codec):
+    rows = [(1, 0, "user", " " * 2_000_000), (1, 1, "assistant", "\n" * 2_000_000), (1, 2, "assistant", "a" * 300_000)]
+    got = chat.read_back(chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), *codec), *codec).collect()
+    assert [(r["n_turns"], r["loss_chars"]) for r in got] == [(3, 2_300_000)]
+    assert got[0]["loss_sha256"] == hashlib.sha256(("\n" * 2_000_000 + "a" * 300_000).encode()).hexdigest()
+
+
 # ---- the pipeline
 
 
