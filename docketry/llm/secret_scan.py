@@ -1,9 +1,16 @@
-"""Secret scans: one automaton for all rules finds where rules fire, and the fired rules' spans are then read off.
+"""Secret scans: one automaton of all rules passes over the bytes, and spans are read off by transition arrays.
 
-Each rule has a trigger, the part of it that tells it apart (for a run of hexadecimal digits the least length, for the
-others everything up to the first character of the secret). The triggers are compiled into one minimal automaton, which
-passes once over the bytes of all texts. Every match of a rule holds a match of its trigger, so a text in which a rule
-doesn't fire has no span of it. Where it fires, the rule's matches are taken from left to right, without overlap.
+The rules themselves are compiled, by subset construction and minimisation, into one deterministic automaton, which passes
+once over the bytes of all texts and tells at which byte a match of which rule ends. Most texts have none. In the others
+
+* the automaton of the reversed rules passes over their bytes from the end, which gives every byte where a match of a
+  rule begins;
+* from left to right, each rule takes the first such byte behind its last match, and an anchored automaton of the rule
+  reads on from there to the longest match's end (and where a rule's secret is only its last part, one of the part
+  before tells where that begins).
+
+No text is searched by a regex engine. Matches are leftmost and longest; for rules whose parts after the first choice can
+be read in one way only, such as all of these, that is what a backtracking engine finds.
 
 Base kinds: assign, access, hex. Added kinds: github, slack, google, stripe, private_key. Spans are code points, end
 exclusive. Defined results: null text is empty; null doc_id stays null; each row gives one row; other columns are
@@ -12,8 +19,8 @@ ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import functools
 import hashlib
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,35 +36,39 @@ BASE = ("assign", "access", "hex")
 
 @dataclass(frozen=True)
 class Rule:
+    """A secret with what must stand before it; a match takes both, and counts if the secret has `least` bytes."""
+
     kind: str
-    trigger: str
-    pattern: str
-    group: int = 0
+    secret: str
     least: int = 1
+    before: str = ""
 
 
-#: The kinds' patterns, in the order in which kinds are listed.
+#: The kinds' patterns, in the order in which kinds are listed. A run of hexadecimal digits is as long as it
+#: must be, since any shorter one is no match and the digits' runs don't overlap.
 RULES = (
-    Rule("assign", r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]", r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 8),
-    Rule("access", r"AKIA[A-Z0-9]", r"AKIA[A-Z0-9]+", 0, 16),
-    Rule("hex", r"[0-9a-f]{32}", r"[0-9a-f]+", 0, 32),
-    Rule("github", r"gh[opsru]_[A-Za-z0-9]", r"gh[opsru]_[A-Za-z0-9]+", 0, 40),
-    Rule("slack", r"xox[abprs]-[A-Za-z0-9]", r"xox[abprs]-[A-Za-z0-9-]+", 0, 15),
-    Rule("google", r"AIza[A-Za-z0-9_-]", r"AIza[A-Za-z0-9_-]+", 0, 39),
-    Rule("stripe", r"[rs]k_live_[A-Za-z0-9]", r"[rs]k_live_[A-Za-z0-9]+", 0, 24),
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("assign", r"[A-Za-z0-9+/_.=-]+", 8, r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?"),
+    Rule("access", r"AKIA[A-Z0-9]+", 16),
+    Rule("hex", r"[0-9a-f]{32,}", 32),
+    Rule("github", r"gh[opsru]_[A-Za-z0-9]+", 40),
+    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]+", 15),
+    Rule("google", r"AIza[A-Za-z0-9_-]+", 39),
+    Rule("stripe", r"[rs]k_live_[A-Za-z0-9]+", 24),
+    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
 )
 
 
 class Scanner:
     def __init__(self, rules: tuple[Rule, ...] = RULES):
         self.rules = rules
-        self.automaton = Automaton([r.trigger for r in rules])
-        self.compiled = [re.compile(r.pattern.encode()) for r in rules]
+        whole = [r.before + r.secret for r in rules]
+        self.forward, self.backward = Automaton(whole), Automaton(whole, backwards=True)
+        self.whole = [Automaton([w], anchored=True) for w in whole]
+        self.before = [Automaton([r.before], anchored=True) if r.before else None for r in rules]
 
     def fired(self, flat: core.Flat) -> dict[int, int]:
-        """The rules that fire in each text, as bits by the text's number; texts without any are left out."""
-        at, rules = self.automaton.scan(flat.buf)
+        """The rules of which a match ends in each text, as bits by the text's number; texts without any are left out."""
+        at, rules = self.forward.scan(flat.buf)
         doc = np.searchsorted(flat.start, at - 1, "right") - 1
         out: dict[int, int] = {}
         for k in range(len(self.rules)):
@@ -65,15 +76,40 @@ class Scanner:
                 out[d] = out.get(d, 0) | 1 << k
         return out
 
-    def spans(self, text: bytes, fired: int) -> list[tuple[int, int, int]]:
-        """(start, rule, end) in bytes of the fired rules' matches, in order of start, then rule."""
-        found = []
+    def spans(self, flat: core.Flat) -> dict[int, list[tuple[int, int, int]]]:
+        """(start, rule, end) of the texts' matches, in bytes of the text, in order of start, then rule; texts without any are left out."""
+        fired = self.fired(flat)
+        if not fired:
+            return {}
+        docs = sorted(fired)
+        # the fired texts, each reversed, the last first
+        length = (flat.end - flat.start)[docs]
+        place = np.concatenate(([0], np.cumsum(length + 1)))
+        buf = np.full(int(place[-1]), GAP, np.uint8)
+        for d, a, n in zip(docs, place.tolist(), length.tolist(), strict=False):
+            buf[a : a + n] = flat.buf[flat.start[d] : flat.end[d]]
+        at, rules = self.backward.scan(buf[::-1])
+        begins, rules = len(buf) - at[::-1], rules[::-1]
+        out: dict[int, list[tuple[int, int, int]]] = {}
         for k, rule in enumerate(self.rules):
-            if fired >> k & 1:
-                for m in self.compiled[k].finditer(text):
-                    if len(m[rule.group]) >= rule.least:
-                        found.append((m.start(), k, m.end()))
-        return sorted(found)
+            mine = begins[rules >> k & 1 == 1]
+            i = 0
+            while i < len(mine):
+                start = int(mine[i])
+                which = int(np.searchsorted(place, start, "right")) - 1
+                stop = int(place[which] + length[which])
+                end = self.whole[k].longest(buf, start, stop)
+                before = self.before[k]
+                if end - (start if before is None else before.longest(buf, start, end)) >= rule.least:
+                    out.setdefault(docs[which], []).append((start - int(place[which]), k, end - int(place[which])))
+                i = int(np.searchsorted(mine, end))
+        return {d: sorted(found) for d, found in out.items()}
+
+
+@functools.lru_cache(2)
+def scanner(rules: tuple[Rule, ...]) -> Scanner:
+    """The rules' automata, built once on the driver and sent to the executors (a megabyte or so for these rules, whatever the table)."""
+    return Scanner(rules)
 
 
 def code_points(text: bytes, at: list[int]) -> list[int]:
@@ -87,20 +123,20 @@ def code_points(text: bytes, at: list[int]) -> list[int]:
 def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans of every document. One pass, no shuffle."""
     n_base = len(BASE)
+    automata = docs.sparkSession.sparkContext.broadcast(scanner(rules))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(rules)
+        scan = automata.value
         nothing = hashlib.sha256(b"").hexdigest()
         for whole in batches:
             for part in core.slices(whole, limit=4 * core.SLICE):
                 flat = core.Flat(part.column("text"), gap=GAP)
                 counts = np.zeros((n_base, flat.n), np.int64)
                 digest, spans = [nothing] * flat.n, [""] * flat.n
-                for d, bits in scanner.fired(flat).items():
+                for d, found in scan.spans(flat).items():
                     text = flat.buf[flat.start[d] : flat.end[d]].tobytes()
-                    found = scanner.spans(text, bits)
                     ends = code_points(text, [x for s, _, e in found for x in (s, e)])
-                    named = [f"{scanner.rules[k].kind}:{s}:{e}" for (_, k, _), s, e in zip(found, ends[0::2], ends[1::2], strict=True)]
+                    named = [f"{rules[k].kind}:{s}:{e}" for (_, k, _), s, e in zip(found, ends[0::2], ends[1::2], strict=True)]
                     for _, k, _ in found:
                         if k < n_base:
                             counts[k, d] += 1
