@@ -17,37 +17,40 @@ def log_sum(x: np.ndarray, axis: int) -> np.ndarray:
 
 
 class Tagger:
-    def __init__(self, symbols: int, tags: int, seed: int = 7, hidden: int = HIDDEN):
+    """Parameters by name; those of the LSTM have a first axis for the direction, forward and backward, which run together."""
+
+    def __init__(self, symbols: int, tags: int, seed: int = 7, hidden: int = HIDDEN, kind: type = np.float64):
         rng = np.random.default_rng(seed)
         h = hidden
         self.hidden, self.tags = h, tags
-        self.p = {"out": rng.normal(0, 0.3, (2 * h, tags)), "bias": np.zeros(tags), "move": np.zeros((tags, tags)), "first": np.zeros(tags), "last": np.zeros(tags)}
-        for d in "fb":
-            self.p |= {f"x{d}": rng.normal(0, 0.3, (symbols, 4 * h)), f"h{d}": rng.normal(0, 0.2, (h, 4 * h)), f"b{d}": np.concatenate((np.zeros(h), np.ones(h), np.zeros(2 * h)))}
+        p = {"out": rng.normal(0, 0.3, (2 * h, tags)), "bias": np.zeros(tags), "move": np.zeros((tags, tags)), "first": np.zeros(tags), "last": np.zeros(tags)}
+        p |= {"x": rng.normal(0, 0.3, (2, symbols, 4 * h)), "h": rng.normal(0, 0.2, (2, h, 4 * h)), "b": np.tile(np.concatenate((np.zeros(h), np.ones(h), np.zeros(2 * h))), (2, 1))}
+        self.p = {k: x.astype(kind) for k, x in p.items()}
 
-    def _run(self, ids: np.ndarray, d: str, keep: bool) -> tuple[np.ndarray, list]:
-        """Hidden states of one direction; ids already reversed for the backward one."""
+    def _run(self, ids: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
+        """Hidden states (steps, windows, both directions' units), each at its own character."""
         n, steps = ids.shape
-        h, state, cell = self.hidden, np.zeros((n, self.hidden), self.p["out"].dtype), np.zeros((n, self.hidden), self.p["out"].dtype)
-        out, kept = np.empty((steps, n, h), state.dtype), []
-        x, u, b = self.p[f"x{d}"] + self.p[f"b{d}"], self.p[f"h{d}"], None
+        h, kind = self.hidden, self.p["out"].dtype
+        state, cell, before_state = np.zeros((2, n, h), kind), np.zeros((2, n, h), kind), None
+        out, kept = np.empty((steps, n, 2 * h), kind), []
+        x, u = self.p["x"] + self.p["b"][:, None, :], self.p["h"]
+        given = np.stack((x[0][ids], x[1][ids[:, ::-1]]))
         for t in range(steps):
-            z = x[ids[:, t]] + state @ u
-            gate = sigmoid(z[:, : 3 * h])
-            i, f, o, g = gate[:, :h], gate[:, h : 2 * h], gate[:, 2 * h :], np.tanh(z[:, 3 * h :])
-            before, b = cell, state
+            z = given[:, :, t] + state @ u
+            gate = sigmoid(z[:, :, : 3 * h])
+            i, f, o, g = gate[:, :, :h], gate[:, :, h : 2 * h], gate[:, :, 2 * h :], np.tanh(z[:, :, 3 * h :])
+            before, before_state = cell, state
             cell = f * cell + i * g
             squashed = np.tanh(cell)
             state = o * squashed
-            out[t] = state
+            out[t, :, :h], out[steps - 1 - t, :, h:] = state[0], state[1]
             if keep:
-                kept.append((i, f, o, g, before, squashed, b))
+                kept.append((i, f, o, g, before, squashed, before_state))
         return out, kept
 
     def emissions(self, ids: np.ndarray) -> np.ndarray:
         """Scores (steps, windows, tags)."""
-        forward, backward = self._run(ids, "f", False)[0], self._run(ids[:, ::-1], "b", False)[0][::-1]
-        return np.concatenate((forward, backward), 2) @ self.p["out"] + self.p["bias"]
+        return self._run(ids, False)[0] @ self.p["out"] + self.p["bias"]
 
     def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The best tag path of every window, and at each character how far its tag's score is above that of tag 0."""
@@ -65,15 +68,22 @@ class Tagger:
         chosen = np.take_along_axis(score.transpose(1, 0, 2), path[:, :, None], 2)[:, :, 0]
         return path, chosen - score[:, :, 0].T
 
+    def odds(self, path: np.ndarray, margin: np.ndarray, begin: int, end: int) -> float:
+        """How far a window's path scores above the same path with tag 0 in [begin, end): emissions and moves. `path` and `margin` as decode gives them."""
+        other = path.copy()
+        other[begin:end] = 0
+        move = self.p["move"]
+        gain = float(margin[begin:end].sum() + (move[path[:-1], path[1:]] - move[other[:-1], other[1:]]).sum())
+        return gain + float(self.p["first"][path[0]] - self.p["first"][other[0]] + self.p["last"][path[-1]] - self.p["last"][other[-1]])
+
     def gradient(self, ids: np.ndarray, tags: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean negative log-likelihood of the windows' tag paths, and its gradient."""
         n, steps = ids.shape
         h, k, p = self.hidden, self.tags, self.p
-        forward, kept_f = self._run(ids, "f", True)
-        backward, kept_b = self._run(ids[:, ::-1], "b", True)
-        both = np.concatenate((forward, backward[::-1]), 2)
+        kind = p["out"].dtype
+        both, kept = self._run(ids, True)
         score = both @ p["out"] + p["bias"]
-        alpha, beta = np.empty((steps, n, k)), np.empty((steps, n, k))
+        alpha, beta = np.empty((steps, n, k), kind), np.empty((steps, n, k), kind)
         alpha[0] = score[0] + p["first"]
         for t in range(1, steps):
             alpha[t] = log_sum(alpha[t - 1][:, :, None] + p["move"], 1) + score[t]
@@ -81,32 +91,35 @@ class Tagger:
         for t in range(steps - 2, -1, -1):
             beta[t] = log_sum(p["move"] + (score[t + 1] + beta[t + 1])[:, None, :], 2)
         total = log_sum(alpha[-1] + p["last"], 1)
-        gold = np.zeros((steps, n, k))
+        gold = np.zeros((steps, n, k), kind)
         gold[np.arange(steps)[:, None], np.arange(n), tags.T] = 1
         marginal = np.exp(alpha + beta - total[:, None])
         g = {"first": (marginal[0] - gold[0]).sum(0) / n, "last": (marginal[-1] - gold[-1]).sum(0) / n}
-        move = np.zeros((k, k))
-        for t in range(1, steps):
-            pair = alpha[t - 1][:, :, None] + p["move"] + (score[t] + beta[t])[:, None, :] - total[:, None, None]
-            move += np.exp(pair).sum(0)
+        pair = alpha[:-1, :, :, None] + p["move"] + (score[1:] + beta[1:])[:, :, None, :] - total[:, None, None]
+        move = np.exp(pair).sum((0, 1))
         np.subtract.at(move, (tags[:, :-1].ravel(), tags[:, 1:].ravel()), 1)
         g["move"] = move / n
         right = (score * gold).sum() + p["first"][tags[:, 0]].sum() + p["last"][tags[:, -1]].sum() + p["move"][tags[:, :-1], tags[:, 1:]].sum()
         d_score = (marginal - gold) / n
         g["out"], g["bias"] = np.tensordot(both, d_score, ((0, 1), (0, 1))), d_score.sum((0, 1))
         d_both = d_score @ p["out"].T
-        for d, kept, d_out, seen in (("f", kept_f, d_both[:, :, :h], ids), ("b", kept_b, d_both[::-1, :, h:], ids[:, ::-1])):
-            gx, gu = np.zeros_like(p[f"x{d}"]), np.zeros_like(p[f"h{d}"])
-            d_state, d_cell = np.zeros((n, h)), np.zeros((n, h))
-            for t in range(steps - 1, -1, -1):
-                i, f, o, c, before, squashed, state = kept[t]
-                d_state = d_state + d_out[t]
-                d_cell = d_cell + d_state * o * (1 - squashed**2)
-                dz = np.concatenate((d_cell * c * i * (1 - i), d_cell * before * f * (1 - f), d_state * squashed * o * (1 - o), d_cell * i * (1 - c**2)), 1)
-                np.add.at(gx, seen[:, t], dz)
-                gu += state.T @ dz
-                d_state, d_cell = dz @ p[f"h{d}"].T, d_cell * f
-            g |= {f"x{d}": gx, f"h{d}": gu, f"b{d}": gx.sum(0)}
+        d_out = np.stack((d_both[:, :, :h], d_both[::-1, :, h:]), 1)
+        back = p["h"].transpose(0, 2, 1)
+        d_state, d_cell = np.zeros((2, n, h), kind), np.zeros((2, n, h), kind)
+        every = np.empty((2, steps, n, 4 * h), kind)
+        for t in range(steps - 1, -1, -1):
+            i, f, o, c, before, squashed, _ = kept[t]
+            d_state = d_state + d_out[t]
+            d_cell = d_cell + d_state * o * (1 - squashed**2)
+            dz = every[:, t]
+            dz[:, :, :h], dz[:, :, h : 2 * h] = d_cell * c * i * (1 - i), d_cell * before * f * (1 - f)
+            dz[:, :, 2 * h : 3 * h], dz[:, :, 3 * h :] = d_state * squashed * o * (1 - o), d_cell * i * (1 - c**2)
+            d_state, d_cell = dz @ back, d_cell * f
+        states = np.stack([x[6] for x in kept], 1).reshape(2, steps * n, h)
+        flat = every.reshape(2, steps * n, 4 * h)
+        seen = np.stack((ids.T, ids.T[::-1])).reshape(2, steps * n)
+        one_hot = (seen[:, :, None] == np.arange(p["x"].shape[1])).astype(kind)
+        g |= {"h": states.transpose(0, 2, 1) @ flat, "x": one_hot.transpose(0, 2, 1) @ flat, "b": flat.sum(1)}
         return float((total.sum() - right) / n), g
 
     def train(self, ids: np.ndarray, tags: np.ndarray, epochs: int, batch: int = 50, rate: float = 0.02, seed: int = 11) -> list[float]:
@@ -124,6 +137,6 @@ class Tagger:
                     x = np.clip(x, -5, 5)
                     m[k] += 0.1 * (x - m[k])
                     v[k] += 0.01 * (x * x - v[k])
-                    self.p[k] -= rate * 0.5 ** (epoch // 3) * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)
+                    self.p[k] -= (rate * 0.5 ** (3 * epoch // epochs) * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)).astype(x.dtype)
             losses.append(float(np.mean(sums)))
         return losses

@@ -1,9 +1,10 @@
 """Personal data: base rules, and a character-level tagger that finds what the rules' forms don't cover.
 
 The tagger (crf_lstm.Tagger) is trained here, from a seed, on labelled spans that a generator writes: e-mail addresses,
-IP addresses, card and phone numbers in common and in disguised forms, among words, dates, prices and versions. Every
-span in scope holds a digit, an "@", or a written-out "at" and a dot, so windows of WINDOW characters, STRIDE apart, are
-laid wherever a window has one of these. Each window is decoded by Viterbi; spans cut by a window's edge give way to the neighbour that has them whole; and
+IP addresses, card and phone numbers in common and in disguised forms, among words, dates, prices and versions. Windows of
+WINDOW characters, STRIDE apart, are laid wherever one has a digit, an "@", or a written-out "at" and a dot, written out
+or not. That loses nothing: plausible() refuses every span of the tagger without one of these, and a test holds the
+spans against those of all windows. Each window is decoded by Viterbi; spans cut by a window's edge give way to the neighbour that has them whole; and
 of all windows' spans of a text those are kept that don't overlap and weigh most together (weighted intervals).
 
 A base span always stays. The tagger's spans are added where they touch no base span and no text that a rule of the
@@ -21,7 +22,7 @@ import functools
 import hashlib
 import re
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +37,6 @@ WINDOW, STRIDE = 64, 32
 BATCH = 512
 #: Digits that a span of the tagger must have at least, by kind.
 LEAST = (0, 4, 16, 8)
-#: Mean score over "no personal data" that a span of the tagger must have.
-MARGIN = 0.5
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -97,18 +96,34 @@ def _symbols() -> np.ndarray:
     table[0xC0:] = 3
     for i, c in enumerate("@.-_+() /:,%[]\n\"#"):
         table[ord(c)] = 5 + i
-    for i, c in enumerate("atdo"):  # "at" and "dot" of disguised addresses
-        table[ord(c)] = 22 + i
     return table
 
 
 SYMBOLS = _symbols()
-N_SYMBOLS = 26
+#: The symbols of the letters of a written-out "at" and "dot" (see plausible), and how many symbols there are.
+AT, DOT, N_SYMBOLS = 22, 23, 24
+#: What stands around these words.
+AROUND = "  []()"
+
+
+def enclosed(codes: np.ndarray, word: str) -> np.ndarray:
+    """Where a word with a pair of AROUND around it begins; the codes are bytes or code points."""
+    at = np.flatnonzero(codes == ord(word[0]))
+    at = at[(at > 0) & (at + len(word) < len(codes))]
+    for i, c in enumerate(word):
+        at = at[codes[at + i] == ord(c)]
+    before, after = codes[at - 1], codes[at + len(word)]
+    return at[np.any([(before == ord(x)) & (after == ord(y)) for x, y in zip(AROUND[::2], AROUND[1::2], strict=True)], 0)]
 
 
 def symbols(text: str) -> np.ndarray:
     points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-    return SYMBOLS[np.minimum(points, 0x17F)]
+    ids = SYMBOLS[np.minimum(points, 0x17F)]
+    for word, symbol in (("at", AT), ("dot", DOT)):
+        at = enclosed(points, word)
+        for i in range(len(word)):
+            ids[at + i] = symbol
+    return ids
 
 
 def make_examples(n: int, seed: int) -> tuple[list[str], list[list[tuple[int, int, int]]]]:
@@ -189,7 +204,7 @@ def make_written(n: int, seed: int) -> tuple[list[str], list[list[tuple[int, int
     for i in range(n):
         line, here = prose(int(rng.integers(0, 7))), []
         if i % 2:
-            at, dot = one(((" at ", " dot "),) * 7 + (("[at]", "[dot]"), ("(at)", "(dot)"), (" [at] ", " [dot] "), (" (at) ", " (dot) "), (" at ", "."), ("[at]", "."), ("(at)", ".")))
+            at, dot = one(((" at ", " dot "),) * 6 + ((" at ", "."),) * 5 + ((" (at) ", "."), (" [at] ", "."), (" @ ", " . ")) + (("[at]", "[dot]"), ("(at)", "(dot)"), (" [at] ", " [dot] "), (" (at) ", " (dot) "), ("[at]", "."), ("(at)", ".")))
             text = one((word(3), word(2) + one("._-") + word(2))) + at + one((word(2), word(2) + dot + word(2), word(2) + "-" + word(2))) + dot + one(("com", "org", "de", "net", "eu", "info"))
             here.append((0, len(line), len(line) + len(text)))
         else:
@@ -214,52 +229,33 @@ def windows(line: str, spans: list[tuple[int, int, int]], at: int) -> tuple[np.n
 
 
 @functools.lru_cache(2)
-def trained(examples: int = 900, epochs: int = 9, seed: int = 5) -> Tagger:
-    """The tagger, trained anew in each process from the seed (some 15 seconds)."""
+def trained(examples: int = 1000, epochs: int = 9, seed: int = 5) -> Tagger:
+    """The tagger, trained anew from the seed once in each process that calls an operator (half a minute or so)."""
     lines, spans = (a + b for a, b in zip(make_examples(examples, seed), make_written(4 * examples, seed), strict=True))
     rng = np.random.default_rng(seed)
     pairs = [windows(a, b, int(rng.integers(0, max(1, len(a) - STRIDE)))) for a, b in zip(lines, spans, strict=True)]
-    tagger = Tagger(N_SYMBOLS, 1 + 2 * len(KINDS))
-    tagger.train(np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs]), epochs)
-    tagger.p = {k: x.astype(np.float32) for k, x in tagger.p.items()}
+    tagger = Tagger(N_SYMBOLS, 1 + 2 * len(KINDS), hidden=20, kind=np.float32)
+    tagger.train(np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs]), epochs, batch=80)
     return tagger
 
 
 # ---- windows of texts
 
 
-def enclosed(codes: np.ndarray, word: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-    """Begins of a word with one of the pairs around it; all three in the same code."""
-    at = np.flatnonzero(codes == word[0])
-    at = at[(at > 0) & (at + len(word) < len(codes))]
-    for i, x in enumerate(word.tolist()):
-        at = at[codes[at + i] == x]
-    before, after = codes[at - 1], codes[at + len(word)]
-    return at[np.any([(before == x) & (after == y) for x, y in pairs.reshape(-1, 2).tolist()], 0)] - 1
-
-
-#: What stands around a written-out "at" or "dot" (see plausible).
-AROUND = "  []()"
-AT, DOT, PAIRS = symbols("at"), symbols("dot"), symbols(AROUND)
-
-
 def lay(ids: np.ndarray) -> np.ndarray:
     """Begins of the windows of one text: every one on the grid that has a digit, an "@", or a written-out "at" and a dot."""
     cells = len(ids) // STRIDE + 1
 
-    def has(at: np.ndarray) -> np.ndarray:
+    def has(*which: int) -> np.ndarray:
         cell = np.zeros(cells + 1, bool)
-        cell[at // STRIDE] = True
+        cell[np.flatnonzero(np.isin(ids, which)) // STRIDE] = True
         return cell[:-1] | cell[1:]
 
-    laid, at = has(np.flatnonzero((ids == 2) | (ids == 5))), enclosed(ids, AT, PAIRS)
-    if len(at):
-        laid |= has(at) & has(np.concatenate((np.flatnonzero(ids == 6), enclosed(ids, DOT, PAIRS))))
-    return np.flatnonzero(laid) * STRIDE
+    return np.flatnonzero(has(2, 5) | has(AT) & has(6, DOT)) * STRIDE
 
 
-def tagged(tagger: Tagger, texts: list[np.ndarray]) -> list[list[tuple[int, int, int]]]:
-    """Reconciled spans (kind, start, end) of texts given as symbols."""
+def tagged(tagger: Tagger, texts: list[np.ndarray], lay: Callable[[np.ndarray], np.ndarray] = lay) -> list[list[tuple[int, int, int]]]:
+    """Reconciled spans (kind, start, end) of texts given as symbols; `lay` gives the windows' begins."""
     begins = [np.unique(lay(ids)) for ids in texts]
     owner = np.repeat(np.arange(len(texts)), [len(b) for b in begins])
     begin = np.concatenate(begins) if len(begins) else np.zeros(0, np.int64)
@@ -284,10 +280,8 @@ def tagged(tagger: Tagger, texts: list[np.ndarray]) -> list[list[tuple[int, int,
                 while t < n and tags[t] == 2 + 2 * kind:
                     t += 1
                 cut = (s == 0 and b > 0) or (t == n and b + n < len(texts[d]))
-                mean = float(margin[row, s:t].mean())
-                if mean >= MARGIN:
-                    # a span that the window's edge may have cut weighs next to nothing beside a whole one
-                    found[d].append((b + s, b + t, kind, mean * (t - s) * (0.01 if cut else 1)))
+                # log-odds over no personal data; a span that the window's edge may have cut weighs next to nothing beside a whole one
+                found[d].append((b + s, b + t, kind, tagger.odds(path[row], margin[row], s, t) * (0.01 if cut else 1)))
     return [reconcile(f) for f in found]
 
 
@@ -346,8 +340,7 @@ def find(tagger: Tagger, texts: list[str]) -> list[tuple[list[tuple[int, int, in
 
 def marked(flat: core.Flat) -> np.ndarray:
     """Numbers of the texts that have a digit, an "@" or a written-out "at"; lay() looks for the dot beside it."""
-    words = enclosed(flat.buf, np.frombuffer(b"at", np.uint8), np.frombuffer(AROUND.encode(), np.uint8)) + 1
-    at = np.sort(np.concatenate((np.flatnonzero(MARK[flat.buf]), words)))
+    at = np.sort(np.concatenate((np.flatnonzero(MARK[flat.buf]), enclosed(flat.buf, "at"))))
     return np.unique(np.searchsorted(flat.start, at, "right") - 1)
 
 

@@ -251,6 +251,45 @@ def test_windows_lie_at_written_out_addresses():
     assert not len(pii.lay(pii.symbols("no such place " * 20 + "at " + "x" * 100 + ".")))
 
 
+def test_windows_that_are_not_laid_hold_no_plausible_span(small):
+    """Of all windows of whole texts, and of those that are laid: the same plausible spans."""
+    texts = [r["text"] or "" for r in small.select("text").collect()]
+    lines = pii.make_written(150, seed=31)[0] + pii.make_examples(150, seed=32)[0]
+    texts += ["\n".join(lines[i::20]) for i in range(20)]
+    ids, tagger = [pii.symbols(t) for t in texts], pii.trained()
+
+    def plausible(found):
+        return [[(k, s, e) for k, s, e in spans if pii.plausible(k, t[s:e])] for t, spans in zip(texts, found, strict=True)]
+
+    every = plausible(pii.tagged(tagger, ids, lambda x: np.arange(len(x) // pii.STRIDE + 1) * pii.STRIDE))
+    assert sum(map(len, every)) > 50 and plausible(pii.tagged(tagger, ids)) == every
+
+
+def test_recall_of_written_out_addresses():
+    rng = np.random.default_rng(77)
+    words = "the of and we write court judge please contact office for people letters house about more answer when said green".split()
+
+    def name():
+        return "".join(rng.choice(list("abcdefghiklmnorstu"), int(rng.integers(3, 9))))
+
+    for at, dot in ((" at ", " dot "), ("[at]", "[dot]"), ("(at)", "(dot)"), ("[at]", "."), (" (at) ", "."), (" @ ", " . ")):
+        texts, want = [], []
+        for _ in range(100):
+            before, address = " ".join(rng.choice(words, int(rng.integers(1, 9)))), f"{name()}{at}{name()}{dot}org"
+            texts.append(f"{before} {address} {' '.join(rng.choice(words, 5))}")
+            want.append((len(before) + 1, len(before) + 1 + len(address)))
+        hits = sum(any(s < b and a < e for _, s, e in every) for (a, b), (_, every) in zip(want, pii.find(pii.trained(), texts), strict=True))
+        assert hits >= 70, (at, dot, hits)
+    (_, every), (_, none) = pii.find(pii.trained(), ["write to john at example dot com please", "They met at noon. The court sat at the dot."])
+    assert [k for k, _, _ in every] == [0] and none == []
+
+
+def test_very_long_texts_of_digits_are_tagged():
+    t = "call 12 at 3.45, " * 60_000 + "anna[at]host[dot]org"
+    (_, every), = pii.find(pii.trained(), [t])
+    assert (0, len(t) - 20, len(t)) in every
+
+
 @pytest.mark.parametrize("address", WRITTEN)
 def test_addresses_without_a_digit_are_found_and_masked(spark, address):
     docs = spark.createDataFrame([(1, f"please ask {address} for more"), (2, "They met at the court. Then, at noon, all went home."), (3, address)], "doc_id long, text string")
