@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 from docketry.llm import core
 
+#: More rounds than any path of fewer than 2**60 nodes takes: a longer run is an error, never a result.
+ROUNDS = 200
+
 
 def local_forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(node, smallest node of its component) within the given edges, for nodes that aren't the smallest themselves."""
@@ -38,8 +41,9 @@ def components(edges: DataFrame, folder: str, name: str = "star") -> DataFrame:
     """
     pairs = edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).filter("v <> u").distinct()
     pairs = core.stored(pairs, folder, f"{name}0")
-    before = None
-    for turn in range(1, 100):
+    before, turn = None, 0
+    while True:
+        turn += 1
         # large star: each larger neighbour of a node goes to the smallest of the node and its neighbours
         both = pairs.select(F.col("u").alias("x"), F.col("v").alias("y")).union(pairs.select(F.col("v").alias("x"), F.col("u").alias("y")))
         least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
@@ -48,8 +52,11 @@ def components(edges: DataFrame, folder: str, name: str = "star") -> DataFrame:
         low = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(low, "v").filter("u > m").select(F.col("u").alias("v"), F.col("m").alias("u")).union(low.select("v", F.col("m").alias("u"))).distinct()
         pairs = core.stored(small, folder, f"{name}{turn}")
+        core.drop(edges.sparkSession, f"{folder}/{name}{turn - 1}")
         sums = pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("v", "u") % 1_000_000_007), F.countDistinct("v")).first()
         if sums == before:
             break
+        if turn > ROUNDS:
+            raise RuntimeError(f"the components of {name} are not found after {ROUNDS} rounds")
         before = sums
     return pairs.select(F.col("v").alias("node"), F.col("u").alias("root"))

@@ -180,11 +180,29 @@ def total_bytes(docs: DataFrame, column: str = "text") -> int:
     return int(docs.agg(F.sum(F.octet_length(column))).first()[0] or 0)
 
 
+_made: list[str] = []
+
+
 def shared(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: below spark.checkpoint.dir if that is set, else (local tests) below the warehouse."""
+    """A new folder that driver and executors share: below spark.checkpoint.dir. Only where all runs in one machine (a local master, as in tests) may that be unset; then it lies below the warehouse."""
     folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", "")
-    folder = folder or spark.conf.get("spark.sql.warehouse.dir") + "/_work"
-    return f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = spark.conf.get("spark.sql.warehouse.dir") + "/_work"
+    _made.append(f"{folder.rstrip('/')}/{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def folders() -> int:
+    """How many shared folders this process has made and not dropped; for drop_since."""
+    return len(_made)
+
+
+def drop_since(spark: SparkSession, since: int) -> None:
+    """Drops the shared folders made since: for a caller that has written all that it wanted of their tables."""
+    while len(_made) > since:
+        drop(spark, _made.pop())
 
 
 def stored(df: DataFrame, folder: str, name: str) -> DataFrame:

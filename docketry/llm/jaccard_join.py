@@ -304,6 +304,11 @@ def _units(members: DataFrame, percent: int) -> DataFrame:
 
 def similar_documents(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
+    return _similar(docs, size, percent)[0]
+
+
+def _similar(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """similar_documents, and the ids that several rows have."""
     spark = docs.sparkSession
     docs = core.texts(docs)
     folder = core.shared(spark)
@@ -347,11 +352,16 @@ def similar_documents(docs: DataFrame, size: int = 5, percent: int = 80) -> Data
     rep = leads.join(roots, F.col("rep") == F.col("node"), "left").select("lead", F.coalesce("root", "rep").alias("component"))
     out = every.join(rep, "lead", "left").select("id", "n", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component"))
     null = F.lit(core.NULL_ID)
-    return out.select(F.nullif("id", null).alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif("component", null).alias("component_id"))
+    several = every.filter(F.col("id") != null).groupBy(F.col("id").alias("doc_id")).count().filter("count > 1").select("doc_id")
+    return out.select(F.nullif("id", null).alias("doc_id"), F.col("n").alias("n_shingles"), F.nullif("component", null).alias("component_id")), several
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs that are their component's smallest doc_id, as they are."""
-    found = similar_documents(docs, size, percent)
+    """The rows of docs that are their component's smallest doc_id, as they are. Of rows that repeat a doc_id with its text one stays; other rows of one doc_id are versions and stay together; rows with a null doc_id stay."""
+    found, several = _similar(docs, size, percent)
     gone = found.filter("component_id <> doc_id or (component_id is null and doc_id is not null)").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    if several.isEmpty():
+        return kept
+    repeated = kept.join(several, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    return kept.join(several, "doc_id", "left_anti").select(*docs.columns).unionByName(repeated)

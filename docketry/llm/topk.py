@@ -9,9 +9,11 @@ those whose coordinate in the query's largest direction lies within the bounds t
 verified by exact integer products; where pruning leaves most of a bucket, by one block product.
 
 Each unit gives a query's k best at most; they meet by query. Defined results: vectors that are null, empty or hold a null
-or a non-finite component take no part, nor do rows with a null id; only vectors with as many components are compared;
+or a non-finite component take no part, nor do rows with a null id, nor vectors with a scaled component of 2^63 or more;
+only vectors with as many components are compared;
 rows with the query's own id are no candidates; repeated rows of other ids are candidates each, repeated query rows count
-once; products are exact up to 63 bits; other columns are ignored; an empty table gives an empty result.
+once; products are exact while their sums stay below 2^63 (components below 2^26 at 2,048 dimensions), beyond that they
+raise; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -80,7 +82,10 @@ def search(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors:
     best = Best(len(queries), k)
     q, p = queries.astype(np.float64), vectors.astype(np.float64)
     q_len, p_len = np.sqrt((q * q).sum(1)), np.sqrt((p * p).sum(1))
-    exact = np.abs(q).max(initial=0) * np.abs(p).max(initial=0) * max(1, q.shape[1]) < 2.0**53
+    greatest = np.abs(q).max(initial=0) * np.abs(p).max(initial=0) * max(1, q.shape[1])
+    if greatest >= 2.0**63:
+        raise OverflowError("inner products of these scaled vectors may exceed 63 bits")
+    exact = greatest < 2.0**53
     order = np.argsort(-p_len, kind="stable")
     focus = np.abs(q).argmax(1)
     unit = q[np.arange(len(q)), focus] / np.maximum(q_len, 1e-300)
