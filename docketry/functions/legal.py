@@ -88,7 +88,7 @@ def any_of(c: Column, words: tuple[str, ...]) -> Column:
     return found
 
 
-def article6_limb(labels: Column | str) -> Column:
+def limb(labels: Column | str) -> Column:
     """Criminal, Civil, Constitutional, Mixed or Unspecified, by the words in a list of keyword labels."""
     text = strip(squeeze(F.lower(F.array_join(F.filter(col(labels), lambda x: strip(x) != ""), " "))))
     criminal, constitutional, civil = (any_of(text, w) for w in (CRIMINAL, CONSTITUTIONAL, CIVIL))

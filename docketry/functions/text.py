@@ -151,3 +151,8 @@ def is_missing(c: Column | str, numeric: bool = False) -> Column:
 def paragraphs(c: Column | str) -> Column:
     """The text's parts between blank lines, stripped, without empty ones."""
     return F.filter(F.transform(F.split(col(c), "\n\n"), strip), lambda x: x != "")
+
+
+def strip_json_comments(c: Column | str) -> Column:
+    """JSON text without // and /* */ comments; what stands inside a string stays."""
+    return F.regexp_replace(col(c), r'("[^"\\]*+(?:\\.[^"\\]*+)*+")|//[^\n]*+|/\*(?s:.*?)\*/', "$1")

@@ -76,7 +76,7 @@ def melt_lists(df: DataFrame, subject: Column, *lists: Column) -> DataFrame:
 
 def case_records(cases: DataFrame) -> DataFrame:
     """Cases with an id, their text fields normalised, and their IRI; fields that are missing come as null."""
-    fields = ("itemid", "case_name", "ecli", "languageisocode", "year", "case_text_path", "appellant", "kpthesaurus", "judgment_type", "source", "article_6_limb", "importance", "law_system", "separateopinion", "court_level", "originatingbody")
+    fields = ("itemid", "case_name", "ecli", "languageisocode", "year", "case_text_path", "appellant", "kpthesaurus", "judgment_type", "source", "limb", "importance", "law_system", "separateopinion", "court_level", "originatingbody")
     lists = ("kpthesaurus_labels", "case_appno", "cited_appno", "secondary_appno", "article", "conclusion", "violation", "nonviolation", "country_name", "respondent", "judges", "judges_id")
     have = dict(cases.dtypes)
 
@@ -114,7 +114,7 @@ def case_triples(r: DataFrame) -> DataFrame:
         literal("hasYear", year, "gYear"),
         literal("hasCaseTextPath", c("case_text_path")),
         literal("hasApplicantName", c("appellant")),
-        edge("hasArticle6Limb", term(legal.term("article_6_limb", legal.LIMB_TERMS))),
+        edge("hasArticle6Limb", term(legal.term("limb", legal.LIMB_TERMS))),
         edge("hasImportanceLevel", term(legal.term("importance", legal.IMPORTANCE_TERMS))),
         edge("hasLawSystem", term(legal.term("law_system", legal.LAW_SYSTEM_TERMS))),
         edge("hasSeparateOpinion", term(legal.separate_opinion("separateopinion"))),
@@ -362,3 +362,8 @@ def neighbourhood(e: DataFrame, nodes: DataFrame) -> DataFrame:
 def graph_counts(quads: DataFrame) -> DataFrame:
     """Triples by named graph."""
     return quads.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+
+
+def in_order(triples: DataFrame) -> DataFrame:
+    """Triples by object, then subject, then predicate."""
+    return triples.orderBy("o", "s", "p", "o_kind", "o_datatype", "o_lang")

@@ -20,6 +20,8 @@ from docketry.functions.text import squeeze
 BLOCKS = ("p", "h1", "h2", "h3", "div")
 _HOLDERS = {*BLOCKS, "h4"}
 _HIDDEN = {"style", "script", "table", "meta", "link"}
+#: Nesting beyond which blocks inside blocks don't repeat their text: times the page's text, and characters at least.
+NESTED, NESTED_LEAST = 20, 1_000_000
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 
 BLOCK_TYPE = T.ArrayType(T.StructType([T.StructField("tag", T.StringType()), T.StructField("text", T.StringType()), T.StructField("bold", T.BooleanType())]))
@@ -86,17 +88,53 @@ def _text(node: _Node, hidden: set[str] | frozenset = frozenset()) -> str:
 
 
 def blocks(root: _Node) -> list[tuple[str, str, bool]]:
-    """(tag, text, bold) of the blocks that have text."""
+    """(tag, text, bold) of the blocks that have text. One pass over the page: texts go into one list, of which a block keeps its stretch; what is inside a block is settled as it closes.
+
+    Blocks inside blocks each repeat their text (a p that isn't closed holds the next one). Where that alone would make a page's blocks longer than NESTED times its text and NESTED_LEAST characters, blocks in which another block begins give only what stands before it, so the result stays in proportion to the page."""
+    pieces: list[str] = []
+    found: list[list] = []
+    todo: list[tuple[_Node, Iterator, list | None]] = [(root, iter(root.children), None)]
+    above: list[list] = []
+    while todo:
+        node, rest, mine = todo[-1]
+        for child in rest:
+            if isinstance(child, str):
+                words = child.split()
+                if words:
+                    pieces.append(" ".join(words))
+            elif child.tag not in _HIDDEN:
+                if above:
+                    # a tag inside counts for all blocks around it: noted at the nearest, handed on as that closes
+                    above[-1][3] |= child.tag in _HOLDERS
+                    above[-1][4] |= child.tag in ("b", "strong")
+                block = None
+                if child.tag in BLOCKS:
+                    if above and above[-1][5] < 0:
+                        above[-1][5] = len(pieces)
+                    block = [child.tag, len(pieces), 0, False, False, -1]
+                    found.append(block)
+                    above.append(block)
+                todo.append((child, iter(child.children), block))
+                break
+        else:
+            todo.pop()
+            if mine is not None:
+                mine[2] = len(pieces)
+                above.pop()
+                if above:
+                    above[-1][3] |= mine[3]
+                    above[-1][4] |= mine[4]
+    lengths = [0]
+    for x in pieces:
+        lengths.append(lengths[-1] + len(x) + 1)
+    kept = [f for f in found if not (f[0] == "div" and f[3])]
+    whole = sum(lengths[f[2]] - lengths[f[1]] for f in kept) <= max(NESTED * lengths[-1], NESTED_LEAST)
     out = []
-    for node in _walk(root, _HIDDEN):
-        if isinstance(node, str) or node.tag not in BLOCKS:
-            continue
-        inside = {x.tag for x in _walk(node, _HIDDEN) if not isinstance(x, str)}
-        if node.tag == "div" and inside & _HOLDERS:
-            continue
-        text = _text(node, _HIDDEN)
-        if text:
-            out.append((node.tag, text, bool(inside & {"b", "strong"})))
+    for tag, begin, end, _, bold, inner in kept:
+        if end > begin:
+            text = " ".join(pieces[begin : end if whole or inner < 0 else max(inner, begin)])
+            if text:
+                out.append((tag, text, bold))
     return out
 
 

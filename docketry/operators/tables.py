@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docketry.functions.text import strip
+
 #: Renames from register fields to case fields.
 CASE_NAMES = {"appno": "case_appno", "extractedappno": "secondary_appno", "sclappnos": "cited_appno", "docname": "case_name", "typedescription": "judgment_type", "doctypebranch": "court_level"}
 #: Register fields that cases don't keep.
@@ -174,3 +176,22 @@ def cost_model(usage: DataFrame, *dimensions: DataFrame) -> DataFrame:
     kept = F.col("tokens_in") * F.col("cached_share") * F.col("price_cached")
     each = (fresh + kept + F.col("tokens_out") * F.col("price_out")) / 1_000_000
     return grid.withColumn("cost_each", F.bround(each, 4)).withColumn("cost_total", F.bround(each * F.col("documents"), 2))
+
+
+def lenient_number(c: Column | str) -> Column:
+    """A number from text with white space around it, null for what is none."""
+    return strip(c).try_cast("double")
+
+
+def nullable_int(c: Column | str) -> Column:
+    """A whole number from text, null for null; other text raises."""
+    return strip(c).cast("long")
+
+
+def as_text(c: Column | str) -> Column:
+    return (F.col(c) if isinstance(c, str) else c).cast("string")
+
+
+def labelled(df: DataFrame, **labels: str) -> DataFrame:
+    """df behind columns that hold the same label in every row; a column of that name is replaced."""
+    return df.select(*[F.lit(v).alias(k) for k, v in labels.items()], *[F.col(f"`{c}`") for c in df.columns if c not in labels])

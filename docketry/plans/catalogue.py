@@ -15,8 +15,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-SECTION_SLOTS = 4
-
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
@@ -51,19 +49,9 @@ def doc_length_overall(spark, d):
     return out.select("n", F.round("mean", 6).alias("mean"), F.col("median").cast("double").alias("median"), F.round("std", 6).alias("std"))
 
 
-_SLOTS = ", ".join(f"length(coalesce(string_split(text, chr(10))[{i + 1}], '')) AS s{i}" for i in range(SECTION_SLOTS))
-
-
-@query(f"""WITH s AS (SELECT {_SLOTS} FROM documents), u AS (UNPIVOT s ON s0, s1, s2, s3 INTO NAME segment VALUE chars)
-SELECT segment, count(*) FILTER (chars > 15) AS n, round(100.0 * count(*) FILTER (chars > 15) / count(*), 1) AS pct, round(coalesce(avg(chars) FILTER (chars > 15), 0), 6) AS mean, coalesce(median(chars) FILTER (chars > 15), 0)::DOUBLE AS median FROM u GROUP BY segment""")
+@query("""WITH l AS (SELECT unnest(range(len(x))) AS slot, unnest(x) AS line FROM (SELECT string_split(text, chr(10)) AS x FROM documents)), n AS (SELECT count(*) AS total FROM documents)
+SELECT 's' || slot AS segment, count(*) FILTER (length(line) > 15) AS n, round(100.0 * count(*) FILTER (length(line) > 15) / any_value(total), 1) AS pct, round(coalesce(avg(length(line)) FILTER (length(line) > 15), 0), 6) AS mean, coalesce(median(length(line)) FILTER (length(line) > 15), 0)::DOUBLE AS median FROM l, n GROUP BY slot""")
 def doc_section_presence(spark, d):
-    slots = table(spark, d, "documents").select(*[F.get(F.split("text", "\n"), F.lit(i)).alias(f"s{i}") for i in range(SECTION_SLOTS)])
-    out = stats.segment_stats(slots, slots.columns)
-    return out.select("segment", "n", "pct", F.round("mean", 6).alias("mean"), F.col("median").cast("double").alias("median"))
-
-
-@query()
-def doc_section_presence_all(spark, d):
     out = stats.slot_stats(table(spark, d, "documents"), F.split("text", "\n"))
     return out.select(F.concat(F.lit("s"), F.col("slot").cast("string")).alias("segment"), "n", "pct", F.round("mean", 6).alias("mean"), F.col("median").cast("double").alias("median"))
 
@@ -84,17 +72,13 @@ def section_fold(spark, d):
     return lines.withColumn("part", F.coalesce(part, F.lit(0))).groupBy("doc_id", "part").agg(F.count(F.lit(1)).alias("n_lines"), F.sum(F.length("line")).alias("chars"))
 
 
-@query(r"""SELECT doc_id, regexp_replace(string_split(text, chr(10))[1], '^(\d+\.)\s*(.*)', '**\1** \2') AS line FROM documents""")
+@query(r"""WITH l AS (SELECT doc_id, unnest(range(len(x)))::INTEGER AS pos, unnest(x) AS line FROM (SELECT doc_id, coalesce(string_split(text, chr(10)), [NULL]) AS x FROM documents)),
+c AS (SELECT *, (upper(line) = line AND lower(line) <> line AND length(line) > 4) AS capitals FROM l)
+SELECT doc_id, CASE WHEN line IS NOT NULL THEN pos END AS pos, CASE WHEN capitals AND length(line) < 150 THEN chr(10) || '## ' || line || chr(10) ELSE regexp_replace(line, '^(\d+\.)\s*(.*)', '**\1** \2') END AS line FROM c""")
 def numbered_paragraphs(spark, d):
-    first = F.get(F.split("text", "\n"), F.lit(0))
-    return table(spark, d, "documents").select("doc_id", F.regexp_replace(first, r"(?U)^(\d+\.)\s*([^\n]*)", "**$1** $2").alias("line"))
-
-
-@query()
-def numbered_paragraphs_all(spark, d):
-    # a document without text keeps one row
+    # a document without text keeps one row; no line is in bold type
     lines = table(spark, d, "documents").select("doc_id", F.posexplode_outer(F.split("text", "\n")).alias("pos", "line"))
-    return lines.withColumn("line", F.regexp_replace("line", r"(?U)^(\d+\.)\s*([^\n]*)", "**$1** $2"))
+    return lines.withColumn("line", html.markdown_line(F.col("line"), F.lit(False)))
 
 
 # ---- HTML
@@ -219,15 +203,8 @@ def list_difference(spark, d):
 
 @query(r"""WITH n AS (SELECT doc_id, 'CASE OF ' || string_split(text, '.')[1] || CASE WHEN doc_id % 3 = 0 THEN ' v. STATE' WHEN doc_id % 3 = 1 THEN ' c. ETAT' ELSE '' END AS name FROM documents),
 m AS (SELECT doc_id, regexp_replace(name, '^(CASE OF|AFFAIRE)\s+', '', 'i') AS name FROM n)
-SELECT doc_id, trim(coalesce(nullif(regexp_extract(name, '(?i)([^\n]+?)(?:\s*\(v\.\s*| v\.)', 1), ''), nullif(regexp_extract(name, '(?i)([^\n]+?)\s+c\.', 1), ''), name)) AS appellant FROM m WHERE NOT regexp_matches(name, '[\n\t]')""")
+SELECT doc_id, CASE WHEN name <> '' THEN regexp_replace(coalesce(nullif(regexp_extract(name, '(?im)^([^\n]+?)(?:\s*\(v\.\s*| v\.)', 1), ''), nullif(regexp_extract(name, '(?im)^([^\n]+?)\s+c\.', 1), ''), name), '^\s+|\s+$', '', 'g') END AS appellant FROM m""")
 def appellant_style_cascade(spark, d):
-    party = F.when(F.col("doc_id") % 3 == 0, " v. STATE").when(F.col("doc_id") % 3 == 1, " c. ETAT").otherwise("")
-    name = F.concat(F.lit("CASE OF "), F.substring_index("text", ".", 1), party)
-    return table(spark, d, "documents").withColumn("name", name).filter(~F.col("name").rlike("[\n\t]")).select("doc_id", text.appellant("name").alias("appellant"))
-
-
-@query()
-def appellant_style_cascade_all(spark, d):
     party = F.when(F.col("doc_id") % 3 == 0, " v. STATE").when(F.col("doc_id") % 3 == 1, " c. ETAT").otherwise("")
     name = F.concat(F.lit("CASE OF "), F.substring_index("text", ".", 1), party)
     return table(spark, d, "documents").withColumn("name", name).select("doc_id", text.appellant("name").alias("appellant"))
@@ -238,7 +215,7 @@ SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'Criminal' WHEN 1 THEN 'Civil' WHEN 2
 def keyword_rule_classify(spark, d):
     k = F.col("doc_id") % 7
     labels = F.when(k == 0, F.array(F.lit("Criminal charge"))).when(k == 1, F.array(F.lit("Civil  proceedings"))).when(k == 2, F.array(F.lit("Criminal charge"), F.lit("Civil proceedings"))).when(k == 3, F.array(F.lit("Constitutional court"))).when(k == 4, F.array(F.lit("Constitutional court"), F.lit("Civil proceedings"))).when(k == 5, F.array(F.lit("Death penalty"))).otherwise(F.array(F.lit("None")))
-    return table(spark, d, "documents").select("doc_id", legal.article6_limb(labels).alias("limb"))
+    return table(spark, d, "documents").select("doc_id", legal.limb(labels).alias("limb"))
 
 
 @query("""SELECT l_orderkey, CASE WHEN count(DISTINCT l_returnflag) = 1 THEN min(l_returnflag) ELSE 'Mixed' END AS flag FROM lineitem GROUP BY l_orderkey""")
@@ -338,15 +315,8 @@ def fuzzy_best_match(spark, d):
     return matching.best_matches(asked, reference).withColumn("score", F.round("score", 9))
 
 
-@query("""WITH x AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem), a AS (SELECT * FROM x WHERE l_orderkey % 10 = 0), b AS (SELECT * FROM x WHERE l_orderkey % 10 <> 0) SELECT DISTINCT a.l_orderkey AS citing, b.l_orderkey AS cited FROM a JOIN b ON a.l_partkey = b.l_partkey WHERE a.l_orderkey <> b.l_orderkey""")
-def citation_self_join(spark, d):
-    # of all orders, every tenth plays a citing case and the others the cited ones
-    x = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("item"), F.col("l_partkey").alias("value"))
-    return tables.citations(x.filter("item % 10 <> 0"), x.filter("item % 10 = 0"))
-
-
 @query("""WITH x AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) SELECT DISTINCT a.l_orderkey AS citing, b.l_orderkey AS cited FROM x a JOIN x b ON a.l_partkey = b.l_partkey WHERE a.l_orderkey <> b.l_orderkey""")
-def citation_self_join_all(spark, d):
+def citation_self_join(spark, d):
     # every order plays a citing case and a cited one
     x = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("item"), F.col("l_partkey").alias("value"))
     return tables.citations(x, x)
@@ -513,7 +483,7 @@ def _cases(spark: SparkSession, d: str) -> DataFrame:
     pick = lambda *o: F.element_at(F.array(*[F.lit(x) for x in o]), (k % len(o) + 1).cast("int"))
     return docs.select(
         k.alias("ordinal"), F.concat(F.lit("001-"), k.cast("string")).alias("itemid"), F.concat(F.lit("CASE OF "), F.left("text", F.lit(12))).alias("case_name"), F.concat(F.lit("ECLI:"), k.cast("string")).alias("ecli"), F.upper("lang").alias("languageisocode"),
-        pick("2001-03-04", "2012-11-30T00:00:00", "bad").alias("judgementdate"), pick("Judgment (Merits)", "Decision").alias("judgment_type"), pick("Court (First Section)", "Court (Grand Chamber)", "Committee of Ministers").alias("originatingbody"), pick("CHAMBER", "GRANDCHAMBER", "COMMITTEE").alias("court_level"), pick("Civil", "Criminal", "Mixed").alias("article_6_limb"), pick("1", "2", "3", "4").alias("importance"), pick("TRUE", "FALSE").alias("separateopinion"),
+        pick("2001-03-04", "2012-11-30T00:00:00", "bad").alias("judgementdate"), pick("Judgment (Merits)", "Decision").alias("judgment_type"), pick("Court (First Section)", "Court (Grand Chamber)", "Committee of Ministers").alias("originatingbody"), pick("CHAMBER", "GRANDCHAMBER", "COMMITTEE").alias("court_level"), pick("Civil", "Criminal", "Mixed").alias("limb"), pick("1", "2", "3", "4").alias("importance"), pick("TRUE", "FALSE").alias("separateopinion"),
         F.array(appno(k), appno(k + 1)).alias("case_appno"), F.array(appno(k + 2)).alias("cited_appno"), pick("6;6-1", "P1-1+6").alias("article"), F.array(pick("Violation of Art. 6-1", "Inadmissible")).alias("conclusion"), F.array(pick("6-1", "6+13")).alias("violation"), F.array(pick("8", "10")).alias("nonviolation"), F.array(pick("FRA", "GBR", "TUR")).alias("respondent"), F.array(pick("A. Judge", "B. Judge")).alias("judges"), F.array(pick("1", "2")).alias("judges_id"), pick("100;200", "300").alias("kpthesaurus"), F.array(pick("Fair trial", "Impartial tribunal")).alias("kpthesaurus_labels"),
     )
 

@@ -69,7 +69,7 @@ def process_cases(raw: DataFrame, judges: DataFrame, keywords: DataFrame, system
     found = matching.best_matches(c.select(F.explode("judges").alias("name")), judges)
     c = matching.matched_lists(c, "itemid", "judges", found, threshold).withColumnsRenamed({"ids": "judges_id", "scores": "judge_similarity_pct"})
     c = tables.map_list_by_table(c.withColumn("_codes", text.parse_list("kpthesaurus")), "itemid", "_codes", keywords, "kpthesaurus_labels").drop("_codes")
-    c = c.withColumn("article_6_limb", legal.article6_limb("kpthesaurus_labels"))
+    c = c.withColumn("limb", legal.limb("kpthesaurus_labels"))
     of = c.select("itemid", F.explode("country_name").alias("_country")).join(systems.select(F.col("code").alias("_country"), F.col("label").alias("_system")), "_country")
     collapsed = of.groupBy("itemid").agg(legal.collapse(F.collect_set("_system")).alias("law_system"))
     return c.join(collapsed, "itemid", "left")

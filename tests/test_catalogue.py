@@ -6,7 +6,7 @@ from statistics import mean, median
 import pytest
 from sql import FOLDER, compare
 
-from docketry.plans import catalogue
+from docketry.plans import catalogue, scalars  # noqa: F401
 
 
 @pytest.mark.parametrize("name", sorted(catalogue.ORACLES))
@@ -31,7 +31,7 @@ def test_every_order_cites_every_other_with_a_common_part(spark, tmp_path):
     spark.createDataFrame(rows, "l_orderkey long, l_partkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
     want = sorted({(a, b) for a, p in rows for b, q in rows if None not in (a, b, p) and p == q and a != b})
     assert (1, 2) in want and (10, 20) in want
-    assert sorted(map(tuple, catalogue.QUERIES["citation_self_join_all"](spark, str(tmp_path)).collect())) == want
+    assert sorted(map(tuple, catalogue.QUERIES["citation_self_join"](spark, str(tmp_path)).collect())) == want
 
 
 TEXTS = [(1, "1. first\n2.second and a long line\n\n3.  third"), (2, None), (3, ""), (4, "\n" * 6 + "12.\tseventh line, long enough"), (5, "no number here at all\nx\n١. other digits"), (None, "4. a\n5. b")]
@@ -44,7 +44,7 @@ def texts(spark, folder):
 
 def test_every_line_of_a_text_can_be_a_numbered_paragraph(spark, tmp_path):
     want = [(i, k, re.sub(r"^(\d+\.)\s*(.*)", r"**\1** \2", x)) for i, t in TEXTS if t is not None for k, x in enumerate(t.split("\n"))] + [(2, None, None)]
-    got = catalogue.QUERIES["numbered_paragraphs_all"](spark, texts(spark, tmp_path)).collect()
+    got = catalogue.QUERIES["numbered_paragraphs"](spark, texts(spark, tmp_path)).collect()
     assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr) and (4, 6, "**12.** seventh line, long enough") in want
 
 
@@ -54,10 +54,8 @@ def test_sections_of_the_whole_text_count(spark, tmp_path):
     for k in range(max(map(len, lines))):
         long = [len(x[k]) for x in lines if len(x) > k and len(x[k]) > 15]
         want.append((f"s{k}", len(long), round(100 * len(long) / len(TEXTS), 1), round(mean(long or [0]), 6), float(median(long or [0]))))
-    got = catalogue.QUERIES["doc_section_presence_all"](spark, texts(spark, tmp_path)).collect()
+    got = catalogue.QUERIES["doc_section_presence"](spark, texts(spark, tmp_path)).collect()
     assert sorted(map(tuple, got)) == sorted(want) and want[6][1] == 1
-    first = {tuple(r) for r in catalogue.QUERIES["doc_section_presence"](spark, FOLDER).collect()}
-    assert first <= {tuple(r) for r in catalogue.QUERIES["doc_section_presence_all"](spark, FOLDER).collect()}
 
 
 def plain_appellant(i, t):
@@ -75,5 +73,5 @@ def test_every_document_has_an_appellant_row(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     for folder in (str(tmp_path), FOLDER):
         docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()
-        got = catalogue.QUERIES["appellant_style_cascade_all"](spark, folder).collect()
+        got = catalogue.QUERIES["appellant_style_cascade"](spark, folder).collect()
         assert sorted(map(tuple, got), key=repr) == sorted(((i, plain_appellant(i, t)) for i, t in docs), key=repr)

@@ -53,11 +53,11 @@ CASES = [
     (lambda: legal.article_references("c"), ["6+6-1"], A, ["6", "6-1"]),
     (lambda: legal.article_references("c"), ["Inadmissible"], A, []),
     (lambda: legal.article_references("c"), ["Award under Article 41 of 5000 euro"], A, ["41", "5000"]),
-    (lambda: legal.article6_limb("c"), ["Criminal charge", "Civil proceedings"], A, "Mixed"),
-    (lambda: legal.article6_limb("c"), ["Constitutional proceedings", "Civil proceedings"], A, "Constitutional"),
-    (lambda: legal.article6_limb("c"), ["Death penalty"], A, "Criminal"),
-    (lambda: legal.article6_limb("c"), [], A, "Unspecified"),
-    (lambda: legal.article6_limb("c"), None, A, "Unspecified"),
+    (lambda: legal.limb("c"), ["Criminal charge", "Civil proceedings"], A, "Mixed"),
+    (lambda: legal.limb("c"), ["Constitutional proceedings", "Civil proceedings"], A, "Constitutional"),
+    (lambda: legal.limb("c"), ["Death penalty"], A, "Criminal"),
+    (lambda: legal.limb("c"), [], A, "Unspecified"),
+    (lambda: legal.limb("c"), None, A, "Unspecified"),
     (lambda: legal.chamber_type("c", F.lit(None).cast("string")), "Court (Second Section Committee)", "string", "Committee"),
     (lambda: legal.chamber_type(F.lit(None).cast("string"), "c", by_level=False), "DECGRANDCHAMBER", "string", "Chamber"),
     (lambda: legal.chamber_type(F.lit(None).cast("string"), "c"), "DECGRANDCHAMBER", "string", "GrandChamber"),

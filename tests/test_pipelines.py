@@ -48,7 +48,7 @@ def test_cases(spark):
     assert c["case_appno"] == ["1/01", "2/01"] and c["secondary_appno"] == ["3/01"] and c["cited_appno"] == ["9/99", "9/99"]
     assert (c["appellant"], c["judgment_type"], c["originatingbody"], c["importance"], c["court_level"]) == ("A", "Judgment (Merits)", "Court (Grand Chamber)", 2, "GRANDCHAMBER")
     assert c["country_name"] == ["France", "United Kingdom"] and c["law_system"] == "Mixed" and c["judges_id"][0] == 1 and c["judges_id"][1] is None
-    assert c["kpthesaurus_labels"] == ["(Art. 6) Criminal charge", "[Unmapped: x]"] and c["article_6_limb"] == "Criminal"
+    assert c["kpthesaurus_labels"] == ["(Art. 6) Criminal charge", "[Unmapped: x]"] and c["limb"] == "Criminal"
     assert [x[0] for x in pipelines.unmapped_keywords(raw(spark), keywords).collect()] == ["x"]
 
 
