@@ -298,17 +298,23 @@ def without_node(triples: DataFrame, node: str) -> DataFrame:
 
 
 def statistics(triples: DataFrame) -> DataFrame:
-    """One row: triples, distinct subjects, predicates and objects, kinds of subjects and objects."""
-    whole = F.struct("o", "o_kind", F.coalesce("o_datatype", F.lit("")), F.coalesce("o_lang", F.lit("")))
-    blank = F.col("s").startswith("_:")
-    return triples.agg(
-        F.count(F.lit(1)).alias("triples"),
-        F.countDistinct("s").alias("subjects"),
-        F.countDistinct("p").alias("predicates"),
-        F.countDistinct(whole).alias("objects"),
-        F.countDistinct(F.when(~blank, F.col("s"))).alias("iri_subjects"),
-        F.countDistinct(F.when(blank, F.col("s"))).alias("blank_subjects"),
-        F.countDistinct(F.when(F.col("o_kind") == "literal", whole)).alias("literal_objects"),
+    """One row: triples, distinct subjects, predicates and objects, kinds of subjects and objects. A triple gives three rows, which are counted by value before and after one shuffle."""
+
+    def row(role: str, value: str, rest: Column) -> Column:
+        return F.struct(F.lit(role).alias("role"), F.col(value).alias("value"), rest.alias("rest"))
+
+    kind = F.struct("o_kind", F.coalesce("o_datatype", F.lit("")).alias("datatype"), F.coalesce("o_lang", F.lit("")).alias("lang"))
+    parts = F.array(row("s", "s", F.lit(None).cast("struct<o_kind:string,datatype:string,lang:string>")), row("p", "p", F.lit(None).cast("struct<o_kind:string,datatype:string,lang:string>")), row("o", "o", kind))
+    met = triples.select(F.explode(parts).alias("x")).groupBy("x.role", "x.value", "x.rest").agg(F.count(F.lit(1)).alias("n"))
+    role, blank = F.col("role"), F.col("value").startswith("_:")
+    return met.agg(
+        F.coalesce(F.sum(F.when(role == "s", F.col("n"))), F.lit(0)).cast("long").alias("triples"),
+        F.count_if(role == "s").alias("subjects"),
+        F.count_if(role == "p").alias("predicates"),
+        F.count_if(role == "o").alias("objects"),
+        F.count_if((role == "s") & ~blank).alias("iri_subjects"),
+        F.count_if((role == "s") & blank).alias("blank_subjects"),
+        F.count_if((role == "o") & (F.col("rest.o_kind") == "literal")).alias("literal_objects"),
     )
 
 

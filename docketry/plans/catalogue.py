@@ -474,25 +474,3 @@ def schema_gate_declared(spark, d):
 @query()
 def vocabulary_edges(spark, d):
     return graph.edge_labels(graph.domain_range_edges(vocabulary.triples(spark)))
-
-
-def _cases(spark: SparkSession, d: str) -> DataFrame:
-    """Documents as court cases: a stand-in for the register, with every field that the case graph reads."""
-    docs = table(spark, d, "documents")
-    k, appno = F.col("doc_id"), lambda x: F.concat(x.cast("string"), F.lit("/09"))
-    pick = lambda *o: F.element_at(F.array(*[F.lit(x) for x in o]), (k % len(o) + 1).cast("int"))
-    return docs.select(
-        k.alias("ordinal"), F.concat(F.lit("001-"), k.cast("string")).alias("itemid"), F.concat(F.lit("CASE OF "), F.left("text", F.lit(12))).alias("case_name"), F.concat(F.lit("ECLI:"), k.cast("string")).alias("ecli"), F.upper("lang").alias("languageisocode"),
-        pick("2001-03-04", "2012-11-30T00:00:00", "bad").alias("judgementdate"), pick("Judgment (Merits)", "Decision").alias("judgment_type"), pick("Court (First Section)", "Court (Grand Chamber)", "Committee of Ministers").alias("originatingbody"), pick("CHAMBER", "GRANDCHAMBER", "COMMITTEE").alias("court_level"), pick("Civil", "Criminal", "Mixed").alias("limb"), pick("1", "2", "3", "4").alias("importance"), pick("TRUE", "FALSE").alias("separateopinion"),
-        F.array(appno(k), appno(k + 1)).alias("case_appno"), F.array(appno(k + 2)).alias("cited_appno"), pick("6;6-1", "P1-1+6").alias("article"), F.array(pick("Violation of Art. 6-1", "Inadmissible")).alias("conclusion"), F.array(pick("6-1", "6+13")).alias("violation"), F.array(pick("8", "10")).alias("nonviolation"), F.array(pick("FRA", "GBR", "TUR")).alias("respondent"), F.array(pick("A. Judge", "B. Judge")).alias("judges"), F.array(pick("1", "2")).alias("judges_id"), pick("100;200", "300").alias("kpthesaurus"), F.array(pick("Fair trial", "Impartial tribunal")).alias("kpthesaurus_labels"),
-    )
-
-
-@query()
-def case_graph_profile(spark, d):
-    return graph.statistics(graph.build(_cases(spark, d)))
-
-
-@query()
-def case_graph_classes(spark, d):
-    return graph.class_counts(graph.build(_cases(spark, d)))

@@ -6,7 +6,7 @@ from statistics import mean, median
 import pytest
 from sql import FOLDER, compare
 
-from docketry.plans import catalogue, scalars  # noqa: F401
+from docketry.plans import cases, catalogue, scalars  # noqa: F401
 
 
 @pytest.mark.parametrize("name", sorted(catalogue.ORACLES))
