@@ -16,9 +16,10 @@ table gives an empty result.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docketry.llm import core
-from docketry.llm.byte_bpe import Pool, coder
+from docketry.llm.byte_bpe import Pool, coder, read_ranks
 
 #: The marks' text forms, and the control strings of common templates that are escaped inside content.
 TURN, SAYS, END = "<|turn|>", "<|says|>", "<|end|>"
@@ -44,23 +45,38 @@ def unescape(text: str) -> str:
     return _ESCAPED.sub(r"\1", text)
 
 
+#: Characters up to which the library takes a segment; its splitter overflows its stack on runs of white space many times as long.
+LONG = 8192
+
+
+@functools.lru_cache(2)
+def library(ranks_path: str, pattern: str):
+    """The library's encoder of a file of ranks, built once in each process."""
+    import tiktoken
+
+    return tiktoken.Encoding("segments", pat_str=pattern, mergeable_ranks=read_ranks(ranks_path), special_tokens={})
+
+
 class Codec:
-    """Segments to ids and back by byte_bpe's encoder (which takes runs of any length), with three reserved ids above the vocabulary."""
+    """Segments to ids and back, with three reserved ids above the vocabulary. Segments over LONG characters go through byte_bpe's encoder, which takes runs of any length and gives the same ids as the library."""
 
     def __init__(self, ranks_path: str, pattern: str):
         self.bpe = coder(ranks_path, pattern)
+        self.plain = library(ranks_path, pattern)
         self.turn, self.says, self.end = (self.bpe.size - 1 + k for k in (1, 2, 3))
         self.marks = {self.turn: TURN, self.says: SAYS, self.end: END}
 
-    def encode(self, turns: Iterable[tuple[str, str]]) -> Iterator[tuple[np.ndarray, int, int]]:
-        """Each turn's ids, and the bounds of its text among them. The distinct pre-tokens of all turns are encoded together, the segments spliced."""
+    def segment(self, text: str) -> list[int] | np.ndarray:
+        if len(text) <= LONG:
+            return self.plain.encode_ordinary(text)
         pool = Pool(self.bpe)
-        for role, text in turns:
-            pool.add(escape(role))
-            pool.add(escape(text))
-        made = pool.flush()
-        for (a,), (b,) in zip(made, made, strict=True):
-            yield np.concatenate(([self.turn], a, [self.says], b, [self.end])).astype("<u4"), len(a) + 2, len(a) + 2 + len(b)
+        pool.add(text)
+        return next(pool.flush())[0]
+
+    def encode(self, role: str, text: str) -> tuple[np.ndarray, int, int]:
+        """A turn's ids, and the bounds of its text among them."""
+        a, b = self.segment(escape(role)), self.segment(escape(text))
+        return np.concatenate(([self.turn], a, [self.says], b, [self.end])).astype("<u4"), len(a) + 2, len(a) + 2 + len(b)
 
     def segments(self, ids: np.ndarray) -> list[tuple[str, str]]:
         """(role, text) of all turns in a sequence of ids, both still escaped."""
@@ -68,7 +84,7 @@ class Codec:
         return [(self.text(ids[a + 1 : b]), self.text(ids[b + 1 : c])) for a, b, c in zip(begin, middle, end, strict=True)]
 
     def text(self, ids: np.ndarray) -> str:
-        return self.bpe.decode(ids).decode()
+        return self.plain.decode_bytes(ids.tolist()).decode()
 
 
 _TURNS = "conv_id long, seq long, ids binary, token_start long, loss_start long, loss_end long"
@@ -84,7 +100,7 @@ def format_conversations(conversations: DataFrame, ranks_path: str, pattern: str
         for whole in batches:
             for b in core.slices(whole):
                 roles = b.column("role").to_pylist()
-                ids, begin, end = zip(*codec.encode(zip(roles, b.column("text").to_pylist(), strict=True)), strict=True)
+                ids, begin, end = zip(*map(codec.encode, roles, b.column("text").to_pylist()), strict=True)
                 begin = [s if role == LOSS_ROLE else e for role, s, e in zip(roles, begin, end, strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column("conv_id"), b.column("turn"), b.column("role"), b.column("text"), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array(begin, pa.int64()), pa.array(end, pa.int64())], ["conv_id", "turn", "role", "text", "ids", "begin", "end"])
 
