@@ -1,12 +1,15 @@
 """Exact top-k search by inner product over norm buckets.
 
-Vectors are scaled to integers. Those of a like length (a class of lengths, cut by a hash into groups of at most GROUP
-vectors or so, since one class may hold them all) form groups; the queries come in blocks, and a block meets a group in one
-unit of work. Inside a unit the group's vectors lie by falling length in buckets. For each bucket and query the k-th best
-score so far, over the query's length and the bucket's greatest, is a cosine that a vector must reach (the local
-threshold). Over 1 it prunes the bucket; else the query takes what leaves fewer candidates: the vectors long enough, or
-those whose coordinate in the query's largest direction lies within the bounds that the cosine sets. Candidates are then
-verified by exact integer products; where pruning leaves most of a bucket, by one block product.
+Vectors are scaled to integers. Each query is first held against the SEED longest vectors: its k-th score there is a floor
+under its result, and the floor over the query's length a length that a vector must reach (its need). Vectors of a like
+length (a class of lengths, cut by a hash into groups of at most GROUP vectors or so, since one class may hold them all)
+form groups, queries of a like need form blocks. Only a block and a group whose vectors are long enough meet, in one unit
+of work, and of the group only the vectors that are: what can't be in a result is dropped before the shuffle. Inside a unit
+the group's vectors lie by falling length in buckets. For each bucket and query the k-th best score so far (the floor at
+first), over the query's length and the bucket's greatest, is a cosine that a vector must reach (the local threshold). Over
+1 it prunes the bucket; else the query takes what leaves fewer candidates: the vectors long enough, or those whose
+coordinate in the query's largest direction lies within the bounds that the cosine sets. Candidates are then verified by
+exact integer products; where pruning leaves most of a bucket, by one block product.
 
 Each unit gives a query's k best at most; they meet by query. Defined results: vectors that are null, empty or hold a null
 or a non-finite component take no part, nor do rows with a null id, nor vectors with a scaled component of 2^63 or more;
@@ -30,6 +33,9 @@ from docketry.llm import core
 GROUP = 16384
 QUERIES = 1024
 BUCKET = 2048
+#: Vectors that set the floors, and the bytes that one of these may have: the bound of what is sent to all tasks.
+SEED = 1024
+SEED_WIDTH = 16 << 10
 #: Relative slack for bounds in floating point, so that no tie is pruned.
 SLACK = 1e-9
 
@@ -77,9 +83,21 @@ class Best:
         self.threshold[self.query[full]] = self.score[full]
 
 
-def search(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> Best:
-    """The exact k best inner products of each query with the vectors, its own id left out."""
+def floors(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> np.ndarray | None:
+    """Each query's k-th best product with these vectors, its own id left out; None if there are too few or floats don't hold the products."""
+    q, p = queries.astype(np.float64), vectors.astype(np.float64)
+    if len(p) <= k or np.abs(q).max(initial=0) * np.abs(p).max(initial=0) * q.shape[1] >= 2.0**53:
+        return None
+    score = np.where(query_ids[:, None] == ids, -np.inf, q @ p.T)
+    kth = np.partition(score, len(p) - k, axis=1)[:, len(p) - k]
+    return kth
+
+
+def search(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int, floor: np.ndarray | None = None) -> Best:
+    """The exact k best inner products of each query with the vectors, its own id left out; those below a query's floor may be missing."""
     best = Best(len(queries), k)
+    if floor is not None:
+        best.threshold = floor.copy()
     q, p = queries.astype(np.float64), vectors.astype(np.float64)
     q_len, p_len = np.sqrt((q * q).sum(1)), np.sqrt((p * p).sum(1))
     greatest = np.abs(q).max(initial=0) * np.abs(p).max(initial=0) * max(1, q.shape[1])
@@ -159,43 +177,69 @@ def top_inner_products(vectors: DataFrame, is_query, k: int = 20, scale: float =
             yield pa.RecordBatch.from_arrays([b.column("vec_id").take(pa.array(keep, pa.int64())), pa.array([len(v) for v in whole], pa.int32()), pa.array([int(2 * np.log2(n)) if n > 0 else -1 for n in norm], pa.int32()), pa.array(norm, pa.float64()), pa.array(made, pa.binary())], ["vec_id", "dim", "class", "norm", "vec"])
 
     spark = vectors.sparkSession
-    ready = core.stored(rows.mapInArrow(scaled, "vec_id long, dim int, class int, norm double, vec binary"), core.shared(spark), "vectors")
+    folder = core.shared(spark)
+    ready = core.stored(rows.mapInArrow(scaled, "vec_id long, dim int, class int, norm double, vec binary"), folder, "vectors")
+    seeds: dict[int, list[tuple[int, bytes]]] = {}
+    for row in ready.filter(F.length("vec") <= SEED_WIDTH).orderBy(F.desc("norm"), "vec_id").limit(SEED).collect():
+        seeds.setdefault(row["dim"], []).append((row["vec_id"], bytes(row["vec"])))
+    longest = spark.sparkContext.broadcast({dim: (np.array([i for i, _ in some], np.int64), _matrix([v for _, v in some])) for dim, some in seeds.items()})
+
+    def floored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, QUERIES):
+                b = whole.slice(at, QUERIES)
+                ids, dims = core.ids(b.column("vec_id")), b.column("dim").to_numpy()
+                vecs = b.column("vec").to_pylist()
+                floor = np.full(b.num_rows, -np.inf)
+                for dim in set(dims.tolist()) & longest.value.keys():
+                    which = np.flatnonzero(dims == dim)
+                    found = floors(ids[which], _matrix([vecs[i] for i in which.tolist()]), *longest.value[dim], k)
+                    if found is not None:
+                        floor[which] = found
+                length = np.sqrt(b.column("norm").to_numpy())
+                need = np.where(floor > 0, np.maximum(floor, 0) / np.maximum(length, 1e-300) * (1 - SLACK), 0.0)
+                level = np.where(need >= 1, np.log2(np.maximum(need, 1)), -1).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("vec_id", "dim", "norm", "vec")), pa.array(floor), pa.array(need), pa.array(level)], ["vec_id", "dim", "norm", "vec", "floor", "need", "level"])
+
     queries = ready.filter(is_query).dropDuplicates(["vec_id", "vec"])
-    # per dimension and class of lengths (a few hundred rows at most, whatever the table): how many groups and blocks
-    groups = ready.groupBy("dim", "class").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("groups"))
-    blocks = queries.groupBy(F.col("dim").alias("q_dim")).agg(F.ceil(F.count(F.lit(1)) / QUERIES).alias("blocks"))
-    met = groups.join(blocks, F.col("dim") == F.col("q_dim")).select("dim", "class", "groups", "blocks")
+    queries = core.stored(queries.mapInArrow(floored, "vec_id long, dim int, norm double, vec binary, floor double, need double, level int"), folder, "queries")
+    # classes of length and levels of need per dimension (some hundreds of pairs, whatever the table): how many groups and blocks
+    groups = ready.groupBy("dim", "class").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("groups"), F.sqrt(F.max("norm")).alias("greatest"))
+    blocks = queries.groupBy("dim", "level").agg(F.ceil(F.count(F.lit(1)) / QUERIES).alias("blocks"), F.min("need").alias("least"))
+    # written, so that the planner knows its size and broadcasts it only if that is small
+    met = core.stored(groups.join(blocks, "dim").filter("greatest >= least"), folder, "met")
     salt = F.xxhash64("vec_id", "vec")
-    side = ["unit", "is_query", "norm", "vec_id", "vec"]
-    candidates = ready.join(F.broadcast(met), ["dim", "class"]).withColumn("group", F.pmod(salt, "groups"))
+    side = ["unit", "is_query", "norm", "vec_id", "vec", "floor"]
+    unit = F.xxhash64("dim", "class", "group", "level", "block").alias("unit")
+    candidates = ready.join(met, ["dim", "class"]).filter(F.sqrt("norm") >= F.col("least")).withColumn("group", F.pmod(salt, "groups"))
     candidates = candidates.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    candidates = candidates.select(F.xxhash64("dim", "class", "group", "block").alias("unit"), F.lit(0).alias("is_query"), "norm", "vec_id", "vec")
-    cells = met.select(F.col("dim").alias("m_dim"), F.col("class").alias("m_class"), "blocks", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("group"))
-    asked = queries.join(F.broadcast(cells.groupBy("m_dim").agg(F.max("blocks").alias("blocks"), F.collect_list(F.struct("m_class", "group")).alias("cells"))), F.col("dim") == F.col("m_dim"))
-    asked = asked.withColumn("block", F.pmod(salt, "blocks")).withColumn("cell", F.explode("cells"))
-    asked = asked.select(F.xxhash64("dim", F.col("cell.m_class"), F.col("cell.group"), "block").alias("unit"), F.lit(1).alias("is_query"), "norm", "vec_id", "vec")
+    candidates = candidates.select(unit, F.lit(0).alias("is_query"), "norm", "vec_id", "vec", F.lit(None).cast("double").alias("floor"))
+    asked = queries.join(met, ["dim", "level"]).filter("greatest >= need").withColumn("block", F.pmod(salt, "blocks"))
+    asked = asked.withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)))
+    asked = asked.select(unit, F.lit(1).alias("is_query"), "norm", "vec_id", "vec", "floor")
     work = candidates.select(side).union(asked.select(side)).repartition("unit").sortWithinPartitions("unit", F.desc("is_query"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit, asks, has = None, ([], []), ([], [])
+        unit, asks, has = None, ([], [], []), ([], [], [])
 
         def close() -> pa.RecordBatch:
             if not asks[0] or not has[0]:
                 best, q_ids, q_vec = Best(0, k), np.zeros(0, np.int64), []
             else:
                 q_ids, q_vec = np.array(asks[0], np.int64), asks[1]
-                best = search(q_ids, _matrix(q_vec), np.array(has[0], np.int64), _matrix(has[1]), k)
+                best = search(q_ids, _matrix(q_vec), np.array(has[0], np.int64), _matrix(has[1]), k, np.array(asks[2]))
             return pa.RecordBatch.from_arrays([pa.array(q_ids[best.query]), pa.array([q_vec[i] for i in best.query.tolist()], pa.binary()), pa.array(best.id), pa.array(best.score)], ["query_id", "query", "vec_id", "score"])
 
         for b in batches:
-            for u, a, i, v in zip(*(b.column(c).to_pylist() for c in ("unit", "is_query", "vec_id", "vec")), strict=True):
+            for u, a, i, v, f in zip(*(b.column(c).to_pylist() for c in ("unit", "is_query", "vec_id", "vec", "floor")), strict=True):
                 if u != unit:
                     if unit is not None:
                         yield close()
-                    unit, asks, has = u, ([], []), ([], [])
+                    unit, asks, has = u, ([], [], []), ([], [], [])
                 to = asks if a else has
                 to[0].append(i)
                 to[1].append(v)
+                to[2].append(f)
         if unit is not None:
             yield close()
 

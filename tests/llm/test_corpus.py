@@ -158,8 +158,9 @@ def plain_top(ids, x, k):
     return sorted(out)
 
 
-@pytest.mark.parametrize("kind", ["unit", "lengths", "copies"])
-def test_top_k_equals_brute_force(spark, monkeypatch, kind):
+@pytest.mark.parametrize("kind,seed", [("unit", 1024), ("lengths", 1024), ("lengths", 30), ("lengths", 5), ("copies", 30)])
+def test_top_k_equals_brute_force(spark, monkeypatch, kind, seed):
+    monkeypatch.setattr(topk, "SEED", seed)
     rng = np.random.default_rng(3)
     x = rng.normal(size=(700, 8))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
@@ -184,6 +185,26 @@ def test_top_k_leaves_out_what_is_no_vector(spark):
     assert topk.top_inner_products(df.limit(0), F.col("vec_id") % 20 == 0).collect() == []
 
 
+def test_top_k_floor_is_the_kth_product_without_the_query_itself():
+    x = np.array([[3, 0], [2, 0], [1, 0], [0, 5]], np.int64)
+    ids = np.array([10, 11, 12, 13])
+    assert topk.floors(ids[:2], x[:2], ids, x, 2).tolist() == [3.0, 2.0]
+    assert topk.floors(ids[:2], x[:2], ids, x, 4) is None
+    assert topk.floors(ids[:1], x[:1] << 30, ids, x << 30, 1) is None
+
+
+def test_top_k_drops_short_vectors_before_they_meet(monkeypatch):
+    rng = np.random.default_rng(5)
+    x = np.floor(rng.normal(size=(400, 8)) * np.where(np.arange(400) < 60, 1000, 10)[:, None]).astype(np.int64)
+    ids = np.arange(400)
+    verified = []
+    plain = topk._verify
+    monkeypatch.setattr(topk, "_verify", lambda best, which, rows, *rest: (verified.append(len(which) * len(rows)), plain(best, which, rows, *rest)))
+    floor = topk.floors(ids[:40], x[:40], ids[:60], x[:60], 5)
+    short = ids[60:]
+    assert topk.search(ids[:40], x[:40], short, x[short], 5, floor).query.size == 0 and not verified
+
+
 def test_top_k_does_not_wrap_round():
     big = np.array([[2**40, 2**40]], np.int64)
     with pytest.raises(OverflowError):
