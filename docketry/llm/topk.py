@@ -182,6 +182,8 @@ def top_inner_products(vectors: DataFrame, is_query, k: int = 20, scale: float =
     seeds: dict[int, list[tuple[int, bytes]]] = {}
     for row in ready.filter(F.length("vec") <= SEED_WIDTH).orderBy(F.desc("norm"), "vec_id").limit(SEED).collect():
         seeds.setdefault(row["dim"], []).append((row["vec_id"], bytes(row["vec"])))
+    # needs below nearly all lengths prune next to nothing: one level for them, so that vectors aren't sent to several for it
+    lowest = ready.agg(F.percentile_approx("class", 0.05)).first()[0]
     longest = spark.sparkContext.broadcast({dim: (np.array([i for i, _ in some], np.int64), _matrix([v for _, v in some])) for dim, some in seeds.items()})
 
     def floored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,7 +200,7 @@ def top_inner_products(vectors: DataFrame, is_query, k: int = 20, scale: float =
                         floor[which] = found
                 length = np.sqrt(b.column("norm").to_numpy())
                 need = np.where(floor > 0, np.maximum(floor, 0) / np.maximum(length, 1e-300) * (1 - SLACK), 0.0)
-                level = np.where(need >= 1, np.log2(np.maximum(need, 1)), -1).astype(np.int32)
+                level = np.maximum(np.where(need >= 1, 4 * np.log2(np.maximum(need, 1)), -1).astype(np.int32), lowest)
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("vec_id", "dim", "norm", "vec")), pa.array(floor), pa.array(need), pa.array(level)], ["vec_id", "dim", "norm", "vec", "floor", "need", "level"])
 
     queries = ready.filter(is_query).dropDuplicates(["vec_id", "vec"])
