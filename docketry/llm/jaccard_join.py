@@ -15,8 +15,11 @@ is at least `percent` per cent of their union.
    group (or merges the groups it links with), else it founds one. So groups are the connected components in the making,
    and a group of thousands of copies costs each a comparison or so.
 
-A cluster over UNIT shingles is cut into blocks by size class and hash, and every two blocks whose sizes allow links make a
-unit of work of bounded size; the links of all units are connected once more. No pair of a posting list or a cluster is emitted.
+A cluster over UNIT shingles is dealt by hash to units of about that size, so that no task gets more of it. Rounds then
+contract it: units settle their own links, one document of each group goes on to the next round's units, until these are
+few or hardly shrink. A cluster of near copies is one group by then. What is outside a cluster's largest group meets the
+whole cluster once more, unit by unit, so every pair that could still join two groups has met; the links of all rounds are
+connected in the end. No pair of a posting list or a cluster is emitted.
 
 Defined results: a document without words or text has an empty set and links with nothing; a null doc_id comes before
 all others (a component led by it has a null id); rows that share a doc_id count as one node, each with its own set; other
@@ -25,7 +28,6 @@ columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +39,7 @@ from docketry.llm import core, sketch
 from docketry.llm.components import components, local_forest
 
 BUCKET_BYTES = 64 << 20
-UNIT = 4 << 20
+UNIT = 1 << 18
 FLUSH = 2 << 20
 
 
@@ -142,13 +144,12 @@ def link(nodes: list[int], members: list[np.ndarray], percent: int) -> list[tupl
     groups = Groups(np.split(numbers, np.cumsum(sizes)[:-1]), percent)
     for k in range(len(order)):
         groups.add(k)
-    out = []
-    for inside in groups.inside:
-        if len(inside) > 1:
-            here = [nodes[order[k]] for k in inside]
-            root = min(here)
-            out += [(x, root) for x in here if x != root]
-    return out
+    ends = [(nodes[order[k]], nodes[order[inside[0]]]) for inside in groups.inside for k in inside[1:]]
+    if not ends:
+        return []
+    a, b = np.array(ends, np.int64).T
+    node, root = local_forest(a, b)
+    return list(zip(node.tolist(), root.tolist(), strict=True))
 
 
 def _blob(*columns: np.ndarray) -> bytes:
@@ -276,30 +277,82 @@ def _meet(docs: DataFrame, size: int, percent: int) -> DataFrame:
     return met.mapInArrow(group, "kind int, a long, b long, n long")
 
 
-def _each(every, *parts):
-    """For each number of the array, the hash of the parts with the number in the place of None."""
-    return F.transform(every, lambda j: F.xxhash64(*(j if p is None else p for p in parts)))
-
-
-def _units(members: DataFrame, percent: int) -> DataFrame:
-    """(doc_id, unit, split) from (doc_id, cluster, n): a cluster as one unit, or one unit for every two blocks of it whose sizes allow a link."""
-    step = math.log(100 / percent)
-    classed = members.withColumn("c", F.floor(F.log(F.col("n").cast("double")) / F.lit(step)).cast("int"))
-    load = classed.groupBy("cluster", "c").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("n"))
-    load = load.groupBy("cluster").agg(F.sum("docs").alias("docs"), F.sum("n").alias("all_n"), F.max("n").alias("most"))
-    load = load.filter("docs > 1").withColumn("parts", F.when(F.col("all_n") <= UNIT, 0).otherwise(F.ceil(F.col("most") * 4 / UNIT)).cast("int")).select("cluster", "parts")
-    placed = classed.join(load, "cluster")
-    whole = placed.filter("parts = 0").select("doc_id", F.xxhash64("cluster").alias("unit"), F.lit(False).alias("split"))
-    mine = F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")
-    every = F.sequence(F.lit(0), F.col("parts") - 1)
-    # class logarithms may round either way at a border, so neighbours are two classes apart at most
-    keys = [F.transform(every, lambda j: F.xxhash64("cluster", "c", "c", F.least(mine, j), F.greatest(mine, j)))]
-    for other in (F.col("c") + 1, F.col("c") + 2):
-        keys.append(_each(every, "cluster", "c", other, mine, None))
-    for other in (F.col("c") - 1, F.col("c") - 2):
-        keys.append(_each(every, "cluster", other, "c", None, mine))
-    cut = placed.filter("parts > 0").select("doc_id", F.explode(F.array_distinct(F.concat(*keys))).alias("unit"), F.lit(True).alias("split"))
-    return whole.union(cut)
+def _settle(texts: DataFrame, units: DataFrame, size: int, percent: int) -> DataFrame:
+    """(node, root) of the documents of each unit (doc_id, unit) that link: the node's smallest connected document there."""
+    work = texts.join(units, "doc_id").select("unit", "doc_id", "text").repartition("unit").sortWithinPartitions("unit")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, nodes, members, made = None, [], [], []
+
+        def out() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array([m[k] for m in made], pa.int64()) for k in (0, 1)], ["node", "root"])
+            made.clear()
+            return batch
+
+        for whole in batches:
+            for part in core.slices(whole):
+                h, at = sets(part.column("text"), size)
+                for i, (u, d) in enumerate(zip(part.column("unit").to_pylist(), part.column("doc_id").to_pylist(), strict=True)):
+                    if u != unit:
+                        if len(nodes) > 1:
+                            made += link(nodes, members, percent)
+                        unit, nodes, members = u, [], []
+                    nodes.append(d)
+                    members.append(h[at[i] : at[i + 1]].copy())
+            yield out()
+        if len(nodes) > 1:
+            made += link(nodes, members, percent)
+        yield out()
+
+    return work.mapInArrow(compare, "node long, root long")
+
+
+def _part(parts: str, turn: int):
+    """A document's number below `parts`, by another hash each turn; an int as those of sequences, since hashes of units tell widths apart."""
+    return F.pmod(F.xxhash64("doc_id", F.lit(turn)), F.col(parts)).cast("int")
+
+
+def _parts(n: str = "n"):
+    return F.ceil(F.sum(n) / UNIT).cast("int")
+
+
+def _links(texts: DataFrame, members: DataFrame, size: int, percent: int, folder: str) -> DataFrame:
+    """(node, root): each document of `members` (doc_id, cluster, n) that links, and its component's smallest one."""
+    load = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("docs"), _parts().alias("parts")).filter("docs > 1").drop("docs")
+    placed = core.stored(members.join(load, "cluster").withColumn("part", _part("parts", 0)), folder, "placed")
+    found = core.stored(_settle(texts, placed.select("doc_id", F.xxhash64("cluster", "part").alias("unit")), size, percent), folder, "links0")
+    cut = placed.filter("parts > 1")
+    if cut.isEmpty():
+        return found  # each unit is a whole cluster
+    ids = cut.select(F.col("doc_id").alias("node"))
+    done = found.join(ids, "node", "left_anti")
+    links, before, turn = found.join(ids, "node", "left_semi"), None, 0
+    while True:
+        turn += 1
+        roots = core.stored(components(links.select(F.col("root").alias("a"), F.col("node").alias("b")), folder, f"turn{turn}_"), folder, f"roots{turn}")
+        heads = cut.drop("parts", "part").join(roots.select(F.col("node").alias("doc_id")), "doc_id", "left_anti")
+        load = heads.groupBy("cluster").agg(F.count(F.lit(1)).alias("docs"), _parts().alias("parts")).filter("docs > 1")
+        load = core.stored(load, folder, f"load{turn}")
+        left, most = load.agg(F.sum("docs"), F.max("parts")).first()
+        # over when heads that met all at once stay apart, or a round has joined less than half of them
+        if left is None or before is not None and (before[1] <= 1 or 2 * left > before[0]):
+            break
+        units = heads.join(load.drop("docs"), "cluster").select("doc_id", F.xxhash64("cluster", _part("parts", turn)).alias("unit"))
+        links = core.stored(links.union(_settle(texts, units, size, percent)), folder, f"links{turn}")
+        before = (left, most)
+    state = cut.join(roots, F.col("doc_id") == F.col("node"), "left").select("doc_id", "cluster", "n", "parts", "part", F.coalesce("root", "doc_id").alias("c"))
+    sums = state.groupBy("cluster", "c").agg(F.sum("n").alias("w"))
+    main = sums.groupBy("cluster").agg(F.max_by("c", F.struct("w", "c")).alias("main"))
+    rest = state.join(main, "cluster").filter("c <> main")
+    load = core.stored(rest.groupBy("cluster").agg(_parts().alias("rests")), folder, "rests")
+    if not load.isEmpty():
+        asking = rest.join(load, "cluster").withColumn("rest", _part("rests", -1)).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        asked = state.join(load, "cluster").withColumn("rest", F.explode(F.sequence(F.lit(0), F.col("rests") - 1)))
+        unit = F.xxhash64("cluster", "rest", "part", F.lit(-1)).alias("unit")
+        units = asking.select("doc_id", unit).union(asked.select("doc_id", unit)).distinct()
+        links = core.stored(links.union(_settle(texts, units, size, percent)), folder, "links_all")
+        roots = components(links.select(F.col("root").alias("a"), F.col("node").alias("b")), folder, "last_")
+    return done.union(roots)
 
 
 def similar_documents(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -318,37 +371,8 @@ def _similar(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataF
     clusters = components(met.filter(f"kind = {EDGE}").select("a", "b"), folder, "cluster")
     nodes = clusters.select(F.col("node").alias("doc_id"), F.col("root").alias("cluster")).union(clusters.select(F.col("root").alias("doc_id"), F.col("root").alias("cluster"))).distinct()
     reps = every.join(leads.filter("lead = rep").select(F.col("lead").alias("id")), "id", "left_semi").groupBy(F.col("id").alias("doc_id")).agg(F.max("n").alias("n"))
-    units = core.stored(_units(nodes.join(reps, "doc_id"), percent), folder, "units")
     texts = docs.select(F.coalesce("doc_id", F.lit(core.NULL_ID)).alias("doc_id"), "text")
-    work = texts.join(units, "doc_id").select("unit", "split", "doc_id", "text").repartition("unit").sortWithinPartitions("unit")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit, split, nodes, members, made = None, False, [], [], []
-
-        def close() -> None:
-            if len(nodes) > 1:
-                made.extend((a, b, split) for a, b in link(nodes, members, percent))
-
-        for whole in batches:
-            for part in core.slices(whole):
-                h, at = sets(part.column("text"), size)
-                for i, (u, s, d) in enumerate(zip(*(part.column(k).to_pylist() for k in ("unit", "split", "doc_id")), strict=True)):
-                    if u != unit:
-                        close()
-                        unit, split, nodes, members = u, s, [], []
-                    nodes.append(d)
-                    members.append(h[at[i] : at[i + 1]].copy())
-            yield pa.RecordBatch.from_arrays([pa.array([m[k] for m in made], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.bool_()))], ["node", "root", "split"])
-            made = []
-        close()
-        yield pa.RecordBatch.from_arrays([pa.array([m[k] for m in made], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.bool_()))], ["node", "root", "split"])
-
-    links = core.stored(work.mapInArrow(compare, "node long, root long, split boolean"), folder, "links")
-    if links.filter("split").isEmpty():
-        found = links.select("node", "root")  # each unit is a whole cluster, so these are the components
-    else:
-        found = components(links.select(F.col("root").alias("a"), F.col("node").alias("b")), folder, "link")
-    roots = found.groupBy("node").agg(F.min("root").alias("root"))
+    roots = _links(texts, nodes.join(reps, "doc_id"), size, percent, folder)
     rep = leads.join(roots, F.col("rep") == F.col("node"), "left").select("lead", F.coalesce("root", "rep").alias("component"))
     out = every.join(rep, "lead", "left").select("id", "n", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component"))
     null = F.lit(core.NULL_ID)

@@ -106,10 +106,15 @@ def near_copies(n, seed):
     return rows
 
 
-@pytest.mark.parametrize("unit", [jaccard_join.UNIT, 2000])
-def test_components_equal_brute_force(spark, monkeypatch, unit):
-    monkeypatch.setattr(jaccard_join, "UNIT", unit)  # small units: clusters are cut into blocks
-    rows = near_copies(250, 1)
+def chain(n):
+    """Documents that link each with the next alone: no group swallows the rest before the ends meet."""
+    return [(1000 - i, " ".join(f"w{k}" for k in range(6 * i, 6 * i + 70))) for i in range(n)]
+
+
+@pytest.mark.parametrize("unit,make", [(jaccard_join.UNIT, near_copies), (2000, near_copies), (300, near_copies), (300, lambda n, seed: chain(n // 4))])
+def test_components_equal_brute_force(spark, monkeypatch, unit, make):
+    monkeypatch.setattr(jaccard_join, "UNIT", unit)  # small units: clusters are cut
+    rows = make(250, 1)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     assert sorted(tuple(r) for r in jaccard_join.similar_documents(df).collect()) == plain_components(rows)
 
@@ -130,6 +135,11 @@ def test_groups_alone_equal_brute_force():
         assert [got.get(k, k) for k in range(n)] == label
 
 
+def test_a_node_of_two_sets_joins_what_each_links_with():
+    a, b = np.arange(10, dtype=np.uint64), np.arange(20, 40, dtype=np.uint64)
+    assert dict(jaccard_join.link([5, 3, 5, 7], [a, a, b, b], 80)) == {5: 3, 7: 3}
+
+
 def test_components_on_edges(edge_docs, empty_docs):
     rows = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.similar_documents(edge_docs).collect()]
     assert len(rows) == edge_docs.count()
