@@ -277,9 +277,9 @@ def _meet(docs: DataFrame, size: int, percent: int) -> DataFrame:
     return met.mapInArrow(group, "kind int, a long, b long, n long")
 
 
-def _settle(texts: DataFrame, units: DataFrame, size: int, percent: int) -> DataFrame:
-    """(node, root) of the documents of each unit (doc_id, unit) that link: the node's smallest connected document there."""
-    work = texts.join(units, "doc_id").select("unit", "doc_id", "text").repartition("unit").sortWithinPartitions("unit")
+def _settle(work: DataFrame, size: int, percent: int) -> DataFrame:
+    """(node, root) of the documents of each unit (unit, doc_id, text) that link: the node's smallest connected document there."""
+    work = work.select("unit", "doc_id", "text").repartition("unit").sortWithinPartitions("unit")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unit, nodes, members, made = None, [], [], []
@@ -319,13 +319,17 @@ def _parts(n: str = "n"):
 def _links(texts: DataFrame, members: DataFrame, size: int, percent: int, folder: str) -> DataFrame:
     """(node, root): each document of `members` (doc_id, cluster, n) that links, and its component's smallest one."""
     load = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("docs"), _parts().alias("parts")).filter("docs > 1").drop("docs")
+    # tables that meet texts are written first, so that the planner knows their size and shuffles texts only if it must
     placed = core.stored(members.join(load, "cluster").withColumn("part", _part("parts", 0)), folder, "placed")
-    found = core.stored(_settle(texts, placed.select("doc_id", F.xxhash64("cluster", "part").alias("unit")), size, percent), folder, "links0")
+    # the texts of clusters alone: later rounds don't read the others again
+    held = core.stored(texts.join(placed.select("doc_id", "cluster", "part"), "doc_id"), folder, "held")
+    found = core.stored(_settle(held.withColumn("unit", F.xxhash64("cluster", "part")), size, percent), folder, "links0")
     cut = placed.filter("parts > 1")
     if cut.isEmpty():
         return found  # each unit is a whole cluster
     ids = cut.select(F.col("doc_id").alias("node"))
     done = found.join(ids, "node", "left_anti")
+    held = held.select("doc_id", "text")
     links, before, turn = found.join(ids, "node", "left_semi"), None, 0
     while True:
         turn += 1
@@ -337,8 +341,8 @@ def _links(texts: DataFrame, members: DataFrame, size: int, percent: int, folder
         # over when heads that met all at once stay apart, or a round has joined less than half of them
         if left is None or before is not None and (before[1] <= 1 or 2 * left > before[0]):
             break
-        units = heads.join(load.drop("docs"), "cluster").select("doc_id", F.xxhash64("cluster", _part("parts", turn)).alias("unit"))
-        links = core.stored(links.union(_settle(texts, units, size, percent)), folder, f"links{turn}")
+        units = core.stored(heads.join(load.drop("docs"), "cluster").select("doc_id", F.xxhash64("cluster", _part("parts", turn)).alias("unit")), folder, f"units{turn}")
+        links = core.stored(links.union(_settle(held.join(units, "doc_id"), size, percent)), folder, f"links{turn}")
         before = (left, most)
     state = cut.join(roots, F.col("doc_id") == F.col("node"), "left").select("doc_id", "cluster", "n", "parts", "part", F.coalesce("root", "doc_id").alias("c"))
     sums = state.groupBy("cluster", "c").agg(F.sum("n").alias("w"))
@@ -349,8 +353,8 @@ def _links(texts: DataFrame, members: DataFrame, size: int, percent: int, folder
         asking = rest.join(load, "cluster").withColumn("rest", _part("rests", -1)).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         asked = state.join(load, "cluster").withColumn("rest", F.explode(F.sequence(F.lit(0), F.col("rests") - 1)))
         unit = F.xxhash64("cluster", "rest", "part", F.lit(-1)).alias("unit")
-        units = asking.select("doc_id", unit).union(asked.select("doc_id", unit)).distinct()
-        links = core.stored(links.union(_settle(texts, units, size, percent)), folder, "links_all")
+        units = core.stored(asking.select("doc_id", unit).union(asked.select("doc_id", unit)).distinct(), folder, "units_rest")
+        links = core.stored(links.union(_settle(held.join(units, "doc_id"), size, percent)), folder, "links_all")
         roots = components(links.select(F.col("root").alias("a"), F.col("node").alias("b")), folder, "last_")
     return done.union(roots)
 
