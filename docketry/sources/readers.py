@@ -99,13 +99,17 @@ def json_records(spark: SparkSession, path: str, schema: T.StructType) -> DataFr
 
 
 _IRI, _NODE = r"<([^>]*)>", r"(?:<([^>]*)>|(_:[A-Za-z0-9_.-]+))"
-_LITERAL = r'"((?:[^"\\]|\\.)*)"(?:\^\^<([^>]*)>|@([A-Za-z0-9-]+))?'
+_LITERAL = r'"([^"\\]*+(?:\\.[^"\\]*+)*+)"(?:\^\^<([^>]*)>|@([A-Za-z0-9-]+))?'
 _TRIPLE = rf"^\s*{_NODE}\s+{_IRI}\s+(?:{_NODE}|{_LITERAL})\s*(?:{_NODE})?\s*\.\s*(?:#.*)?$"
 
 
-def ntriples(spark: SparkSession, path: str) -> DataFrame:
-    """Triples of N-Triples files (or quads, with their graph in g), natively by line. Lines of another form are left out."""
-    line = spark.read.text(path).filter(F.col("value").rlike(_TRIPLE))
+def ntriples(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+    """Triples of N-Triples files (or quads, with their graph in g), natively by line. Blank lines and comments give none; a line of another form, such as Turtle's prefixes, raises or, if not strict, is left out."""
+    reads = F.col("value").rlike(_TRIPLE)
+    if strict:
+        wrong = F.raise_error(F.concat(F.lit("no triple: "), F.substring("value", 1, 200))).cast("boolean")
+        reads = F.when(reads, True).when(F.col("value").rlike(r"^\s*(?:#.*)?$"), False).otherwise(wrong)
+    line = spark.read.text(path).filter(reads)
     g = lambda i: F.nullif(F.regexp_extract("value", _TRIPLE, i), F.lit(""))
     is_literal = g(4).isNull() & g(5).isNull()
     raw = F.regexp_extract("value", _TRIPLE, 6)

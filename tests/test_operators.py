@@ -136,6 +136,16 @@ def test_ntriples_round_trip(spark, tmp_path):
     assert sorted(map(tuple, readers.ntriples(spark, str(tmp_path / "t")).drop("g").collect()), key=str) == sorted(rows, key=str)
 
 
+def test_ntriples_of_another_form_raise(spark, tmp_path):
+    long = 'y\\"' * 100_000
+    (tmp_path / "t.nt").write_text(f'# head\n\n<http://a> <http://p> "{long}" .\n')
+    assert readers.ntriples(spark, str(tmp_path / "t.nt")).first()["o"] == 'y"' * 100_000
+    (tmp_path / "t.ttl").write_text("@prefix x: <http://x> .\n<http://a> <http://p> <http://b> .\n")
+    with pytest.raises(Exception, match="no triple: @prefix"):
+        readers.ntriples(spark, str(tmp_path / "t.ttl")).collect()
+    assert readers.ntriples(spark, str(tmp_path / "t.ttl"), strict=False).count() == 1
+
+
 def test_html_folder_judges_and_dictionary(spark, tmp_path):
     (tmp_path / "a.html").write_bytes(b"<p>caf\xc3\xa9 \xff!</p>")
     (tmp_path / "b.html").write_text(PAGE)
