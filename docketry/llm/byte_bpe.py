@@ -32,6 +32,8 @@ from docketry.llm.token_counts import with_white
 
 #: Bytes of text that are pooled before their distinct pre-tokens are encoded.
 POOL = 24 << 20
+#: Pairs that are looked up at once: the look-up's own arrays take some fifty bytes a pair.
+PAIRS = 1 << 18
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -125,6 +127,14 @@ class ByteBpe:
 
     def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank that merges left and right, -1 where none does."""
+        if len(left) <= PAIRS:
+            return self._rank_of(left, right)
+        out = np.empty(len(left), np.int32)
+        for i in range(0, len(left), PAIRS):
+            out[i : i + PAIRS] = self._rank_of(left[i : i + PAIRS], right[i : i + PAIRS])
+        return out
+
+    def _rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left.astype(np.int64) * self.size + right
         at = self._slot(key)
         out = np.full(len(key), -1, np.int32)
@@ -149,7 +159,7 @@ class ByteBpe:
         nxt[ends[length > 0] - 1] = -1
         prv = np.arange(-1, n - 1, dtype=np.int32)
         prv[(ends - length)[length > 0]] = -1
-        has = np.flatnonzero(nxt >= 0)
+        has = np.flatnonzero(nxt >= 0).astype(np.int32)
         rank = np.full(n, -1, np.int32)
         rank[has] = self.rank_of(sym[has], sym[nxt[has]])
         queue = RankQueue(self.size)
@@ -172,6 +182,7 @@ class ByteBpe:
             queue.push(int(r[0]), at)
 
         push(has)
+        del has
         while (popped := queue.pop()) is not None:
             r, parts = popped
             at = parts[0] if len(parts) == 1 else np.concatenate(parts)
@@ -269,10 +280,12 @@ class Pool:
 
     def __init__(self, bpe: ByteBpe):
         self.bpe = bpe
+        self.number: defaultdict[str, int] = defaultdict()
         self._empty()
 
     def _empty(self) -> None:
-        self.number: defaultdict[str, int] = defaultdict()
+        self.number.default_factory = None  # it holds the dictionary, which would wait for the garbage collector
+        self.number = defaultdict()
         self.number.default_factory = self.number.__len__
         self.docs, self.bytes = [], 0
 
@@ -283,7 +296,8 @@ class Pool:
 
     def flush(self) -> Iterator[tuple]:
         """Each document's ids as an array, with its key."""
-        tokens = [t.encode() for t in self.number]
+        tokens, docs = [t.encode() for t in self.number], self.docs
+        self._empty()  # the strings go before the arrays come
         ranks = self.bpe.ranks
         direct = [ranks.get(t) for t in tokens]
         ids, at = self.bpe.encode_pool([t for t, r in zip(tokens, direct, strict=True) if r is None])
@@ -294,8 +308,6 @@ class Pool:
         begin[whole < 0] = at[:-1]
         begin[whole >= 0] = len(ids) + np.arange(int((whole >= 0).sum()))
         ids = np.concatenate((ids, whole[whole >= 0].astype(np.uint32)))
-        docs = self.docs
-        self._empty()
         for tokens_at, *key in docs:
             yield gather(ids, begin[tokens_at], count[tokens_at]), *key
 
@@ -328,4 +340,4 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, keep_ids: b
 
     fields = [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
     schema = pa.schema(fields + [("ids", pa.binary())] * keep_ids)
-    return core.texts(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * keep_ids)
+    return core.texts(docs).mapInArrow(core.releasing(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * keep_ids)

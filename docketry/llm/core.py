@@ -7,8 +7,10 @@ longer text is a slice of its own), which bounds memory whatever the size of a p
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +35,11 @@ _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n; kept and doubled as longer slices come."""
+    """base**i and base**-i modulo 2**64 for i < n; kept until the task ends, made anew as longer slices come."""
     have = _powers.get(which)
     if have is None or len(have[0]) < n:
-        size = max(1 << 16, 1 << (n - 1).bit_length())
+        step = max(1 << 16, 1 << max(0, n.bit_length() - 3))  # an eighth to a quarter of n: few new sizes, little spare room
+        size = -(-n // step) * step
         base = _BASES[which]
         out = []
         for b in (base, pow(base, -1, 1 << 64)):
@@ -47,6 +50,37 @@ def powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return have[0][:n], have[1][:n]
 
 
+@functools.cache
+def _trim() -> Callable[[int], int] | None:
+    """glibc's malloc_trim; None with another C library."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):
+        return None
+
+
+def release() -> None:
+    """Gives memory that isn't in use back to the system: kept powers, Arrow's pool, free pages of the C heap."""
+    _powers.clear()
+    pa.default_memory_pool().release_unused()
+    if trim := _trim():
+        trim(0)
+
+
+def releasing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run for mapInArrow, releasing memory as a task begins and ends: Python workers serve one task after another, of all operators, and what each leaves would stay beside the next one's."""
+
+    @functools.wraps(run)
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return task
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64 bits (xor-shift and multiply), so that every bit of a hash can be used."""
     x = x ^ (x >> U64(30))

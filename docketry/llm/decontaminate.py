@@ -373,7 +373,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, size: int = 10, text: str
                     clean[Matches(part.column(text), index.value).text] = False
                     yield part.filter(pa.array(clean))
 
-        return docs.mapInArrow(run, docs.schema)
+        return docs.mapInArrow(core.releasing(run), docs.schema)
 
     chunks = _chunks(benchmark, size, key, "text")
     n = next(chunks)

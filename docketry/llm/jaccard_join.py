@@ -273,8 +273,8 @@ def _meet(docs: DataFrame, size: int, percent: int) -> DataFrame:
     def rows(kind: int, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b), pa.array(n)], ["kind", "a", "b", "n"])
 
-    met = docs.mapInArrow(shingle, "bucket int, payload binary").repartitionById(3 * buckets, "bucket")
-    return met.mapInArrow(group, "kind int, a long, b long, n long")
+    met = docs.mapInArrow(core.releasing(shingle), "bucket int, payload binary").repartitionById(3 * buckets, "bucket")
+    return met.mapInArrow(core.releasing(group), "kind int, a long, b long, n long")
 
 
 def _settle(work: DataFrame, size: int, percent: int) -> DataFrame:
@@ -304,7 +304,7 @@ def _settle(work: DataFrame, size: int, percent: int) -> DataFrame:
             made += link(nodes, members, percent)
         yield out()
 
-    return work.mapInArrow(compare, "node long, root long")
+    return work.mapInArrow(core.releasing(compare), "node long, root long")
 
 
 def _part(parts: str, turn: int):

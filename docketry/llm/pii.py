@@ -401,4 +401,4 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
                     part = part.set_column(i, part.schema.field(i), pa.array(new, part.schema.field(i).type))
                 yield part
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(core.releasing(run), docs.schema)

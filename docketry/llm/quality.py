@@ -95,7 +95,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), pa.array([b[0] for b in bags], pa.binary()), pa.array([b[1] for b in bags], pa.binary()), pa.array(count, pa.int64())], ["doc_id", "label", "bucket", "times", "count"])
 
     texts = core.texts(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
-    got = texts.mapInArrow(run, "doc_id long, label int, bucket binary, times binary, count long").toArrow()
+    got = texts.mapInArrow(core.releasing(run), "doc_id long, label int, bucket binary, times binary, count long").toArrow()
     bags = [(i, y, core.unpack(b, np.int32), core.unpack(t, np.int32), c) for i, y, b, t, c in zip(*(got.column(k).to_pylist() for k in ("doc_id", "label", "bucket", "times", "count")), strict=True)]
     bags.sort(key=lambda x: (x[0], x[1], x[4]))
     model = Ftrl((1 << BITS) + 1)
@@ -146,4 +146,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
             for part in core.slices(whole, text):
                 yield part.filter(pa.array(scores(w, part.column(text).cast(pa.string())) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(core.releasing(run), docs.schema)

@@ -150,6 +150,6 @@ def build(docs: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray], items
         columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
         yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], ["bucket", *(n for n, _ in RESULT)])
 
-    packed = docs.mapInArrow(collect, "bucket int, payload binary").repartitionById(blocks, "bucket")
-    got = packed.mapInArrow(merge, f"bucket int, {RESULT_SQL}").toArrow()
+    packed = docs.mapInArrow(core.releasing(collect), "bucket int, payload binary").repartitionById(blocks, "bucket")
+    got = packed.mapInArrow(core.releasing(merge), f"bucket int, {RESULT_SQL}").toArrow()
     return Seen(list(zip(*(c.to_pylist() for c in got.columns), strict=True)), bits)

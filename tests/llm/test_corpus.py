@@ -324,3 +324,14 @@ def test_pipeline_stages(spark, tmp_path):
             assert all(tuple(after[i]) == tuple(rows[i]) for i in after)
     got = {r["doc_id"]: r for r in p.STAGES[-1][1](spark, docs, d).collect()}
     assert {i: r["decoded_sha256"] for i, r in got.items()} == {r["doc_id"]: hashlib.sha256(r["text"].encode()).hexdigest() for r in docs.collect()}
+
+
+def test_workers_keep_no_memory_of_earlier_tasks(spark, small, monkeypatch):
+    import pyarrow as pa
+
+    def kept(batches):
+        yield pa.RecordBatch.from_arrays([pa.array([sum(len(a) for pair in core._powers.values() for a in pair) for _ in batches], pa.int64())], ["n"])
+
+    monkeypatch.setitem(spark.sparkContext.environment, "DOCKETRY_WORKERS", "of this test alone")
+    assert jaccard_join.keep_one(small).count()
+    assert spark.range(8, numPartitions=8).mapInArrow(kept, "n long").agg(F.max("n")).first()[0] == 0

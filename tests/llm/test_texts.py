@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -92,6 +94,30 @@ def test_rank_queue_pops_in_order():
     assert out == sorted(ranks)
 
 
+def test_a_pool_takes_little_memory_and_leaves_none_behind():
+    rng = random.Random(2)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=9)) for _ in range(100_000)]
+    encoded(["warm up"])
+    gc.collect()
+    gc.disable()
+    tracemalloc.start()
+    try:
+        pool = byte_bpe.Pool(BPE)
+        pool.add(" ".join(words))
+        held = tracemalloc.get_traced_memory()[0]
+        tracemalloc.reset_peak()
+        (ids,) = next(pool.flush())
+        peak = tracemalloc.get_traced_memory()[1]
+        n = ids.nbytes
+        del ids
+        left = tracemalloc.get_traced_memory()[0]
+    finally:
+        tracemalloc.stop()
+        gc.enable()
+    assert n and left < held / 8
+    assert peak < held + 50 * sum(map(len, words))
+
+
 def test_queries_on_edges(spark, edge_docs, empty_docs):
     for run in (lambda d: token_counts.count_tokens(d, WORD_BPE), lambda d: byte_bpe.encode_documents(d, RANKS, public_tokenizers.PATTERN), secret_scan.scan_secrets, pii.find_personal_data):
         rows = run(edge_docs).collect()
